@@ -1,10 +1,10 @@
 """Quality rules on tokeniser fertility: characters per token, byte-fallback share and token entropy of a text by a
 public vocabulary, with rejection bands per language or script.
 
-A band is median plus or minus `width` times the interquartile range of all documents of that language (at least
-`floor` of it, so that a language of one text has a band); texts without a language go by their script. A text's own
-noise widens its band: a statistic of n tokens may stray by noise / sqrt(n) more. Entropy is taken relative to
-log2 of the number of tokens, so that long and short texts compare.
+A band is median plus or minus `width` times the interquartile range (at least `floor`) of all documents of that
+language whose token counts lie between the same powers of two, as entropy and noise follow length; texts without a
+language go by their script. Entropy is taken relative to log2 of the number of tokens. A band that rests on fewer
+than `least` documents rejects nothing.
 
 Defined results: null or empty texts have no tokens, null statistics and verdict "empty"; they are not kept.
 Null languages go by script. Repeated rows and ids each stand for themselves; other columns are not touched. An empty
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from ._shared import column, doc_columns, written
 from ._tokens import TOKENIZERS, file_bytes, piece_tokens
 
-#: statistic: floor of its spread, noise of one token
-STATS = {"chars_per_token": (0.15, 3.0), "byte_share": (0.005, 0.5), "token_entropy": (0.01, 1.5)}
-WIDTH = 3.0
+#: statistic: the least interquartile range that a band takes for it
+STATS = {"chars_per_token": 0.03, "byte_share": 0.004, "token_entropy": 0.008}
+WIDTH, LEAST = 6.0, 30
 
 
 def statistics(text: Column, model: bytes) -> Column:
@@ -65,39 +65,43 @@ def measured(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", folder: s
     return d.select("doc_id", band_key(F.col("lang"), F.col("text")).alias("band_key"), statistics(F.col("text"), file_bytes(vocabulary, folder)).alias("s")).select("doc_id", "band_key", "s.*")
 
 
+def size_class(n_tokens: Column) -> Column:
+    return F.floor(F.log2(n_tokens)).cast("int")
+
+
 def bands(rows: DataFrame, width: float = WIDTH) -> DataFrame:
-    """band_key, and mid and half of each statistic, over all rows with tokens."""
-    aggs = []
-    for s, (floor, _) in STATS.items():
+    """band_key, band_size, n_docs, and mid and half of each statistic, over all rows with tokens."""
+    aggs = [F.count("*").alias("n_docs")]
+    for s, floor in STATS.items():
         q = F.percentile_approx(s, [0.25, 0.5, 0.75], 10000)
         aggs += [q[1].alias(f"{s}_mid"), (F.greatest(q[2] - q[0], F.lit(floor)) * width).alias(f"{s}_half")]
-    return rows.filter("n_tokens > 0").groupBy("band_key").agg(*aggs)
+    return rows.filter("n_tokens > 0").groupBy("band_key", size_class(F.col("n_tokens")).alias("band_size")).agg(*aggs)
 
 
-def verdict(stat, band, width: float = WIDTH) -> Column:
+def verdict(stat, band, least: int = LEAST) -> Column:
     """stat and band: the columns of a row's statistics and of its band, by name."""
-    out = F.when(stat("n_tokens") == 0, "empty")
-    for s, (_, noise) in STATS.items():
-        off = F.abs(stat(s) - band(f"{s}_mid")) > band(f"{s}_half") + F.lit(noise * width) / F.sqrt(stat("n_tokens"))
-        out = out.when(off, s)
+    out = F.when(stat("n_tokens") == 0, "empty").when(band("n_docs") < least, "keep")
+    for s in STATS:
+        out = out.when(F.abs(stat(s) - band(f"{s}_mid")) > band(f"{s}_half"), s)
     return out.otherwise("keep")
 
 
-def fertility(docs: DataFrame, width: float = WIDTH, vocabulary: str = "piece_bpe_32k.model", folder: str = TOKENIZERS) -> DataFrame:
+def fertility(docs: DataFrame, width: float = WIDTH, least: int = LEAST, vocabulary: str = "piece_bpe_32k.model", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, band_key, n_tokens, the statistics, verdict ("keep", "empty", or the statistic that is out of its band)."""
     rows = written(measured(docs, vocabulary, folder), "fertility")
-    # a row for each language or script: a few hundred of them exist
-    joined = rows.join(F.broadcast(bands(rows, width)), "band_key", "left")
-    return joined.select("doc_id", "band_key", *rows.columns[2:], verdict(F.col, F.col, width).alias("verdict"))
+    # some twenty rows for each language or script: a few thousand if all that exist are there
+    limits = F.broadcast(bands(rows, width).withColumnRenamed("band_key", "key"))
+    joined = rows.join(limits, (F.col("band_key") == F.col("key")) & (size_class(F.col("n_tokens")) == F.col("band_size")), "left")
+    return joined.select(*rows.columns, verdict(F.col, F.col, least).alias("verdict"))
 
 
-def keep_fertile(docs: DataFrame, width: float = WIDTH, vocabulary: str = "piece_bpe_32k.model", folder: str = TOKENIZERS) -> DataFrame:
+def keep_fertile(docs: DataFrame, width: float = WIDTH, least: int = LEAST, vocabulary: str = "piece_bpe_32k.model", folder: str = TOKENIZERS) -> DataFrame:
     """The rows of docs that fertility() keeps, with all their columns as they are."""
     mine, limit = (next(n for i in range(len(docs.columns) + 1) if (n := f"{x}_{i}") not in docs.columns) for x in ("fertility", "band"))
     lang = column(docs, "lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     text = column(docs, "text").cast("string")
     rows = written(docs.withColumn(mine, F.struct(band_key(lang, text).alias("band_key"), statistics(text, file_bytes(vocabulary, folder)).alias("s"))), "fertile")
-    limits = bands(rows.select(f"{mine}.band_key", f"{mine}.s.*"), width).select(F.struct("*").alias(limit))
-    joined = rows.join(F.broadcast(limits), F.col(f"{mine}.band_key") == F.col(f"{limit}.band_key"), "left")
-    kept = joined.filter(verdict(lambda c: F.col(f"{mine}.s.{c}"), lambda c: F.col(f"{limit}.{c}"), width) == "keep")
+    limits = F.broadcast(bands(rows.select(f"{mine}.band_key", f"{mine}.s.*"), width).select(F.struct("*").alias(limit)))
+    joined = rows.join(limits, (F.col(f"{mine}.band_key") == F.col(f"{limit}.band_key")) & (size_class(F.col(f"{mine}.s.n_tokens")) == F.col(f"{limit}.band_size")), "left")
+    kept = joined.filter(verdict(lambda c: F.col(f"{mine}.s.{c}"), lambda c: F.col(f"{limit}.{c}"), least) == "keep")
     return kept.select(*(column(rows, c) for c in docs.columns))
