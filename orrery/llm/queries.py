@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crf, fertility, packing
+from . import crf, fertility, near_dedup, packing
 from ._shared import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,7 +27,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_crf, op7_fertility, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_line_crf, op7_fertility, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
