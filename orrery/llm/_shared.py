@@ -29,6 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Deletes what written() wrote, once nothing reads it any more, and lets Spark drop the shuffles behind it."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if name.startswith(shared_dir(spark)) or shared_dir(spark).removeprefix("file://") in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def column(df: DataFrame, name: str) -> Column:
     """The column of that exact name, dots and all."""
     return df[f"`{name}`"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, crf, fertility, licenses, near_dedup, packing, warc
+from . import ann, bpe, chat, crf, fertility, licenses, near_dedup, packing, suffix_dedup, warc
 from ._shared import table
 
 
@@ -26,6 +26,10 @@ def op4_learned_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc_zstd, op3_line_crf, op4_learned_ann, op6_license_scan, op7_fertility, op8_chat_template, op9_byte_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_warc_zstd, op3_line_crf, op4_learned_ann, op5_suffix_dedup, op6_license_scan, op7_fertility, op8_chat_template, op9_byte_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
