@@ -1,11 +1,853 @@
-"""Every query of the library by name, and the SQL that gives the same rows."""
+"""Every query of the library by name, over whole tables, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import encode, filters
+from ..functions import vectors as v
+from ..operators import collection, control, dataset, energy, graph, ivf, knn, lsh, shard, text
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+R = 6
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def seconds(name: str) -> Column:
+    return F.unix_micros(F.col(name).cast("timestamp")) / 1e6
+
+
+def emb(s: SparkSession, d: str) -> DataFrame:
+    return t(s, d, "embeddings").select("vec_id", v.doubles(F.col("embedding")).alias("embedding"), F.col("label").cast("long").alias("label"))
+
+
+def as_queries(e: DataFrame) -> DataFrame:
+    return e.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = R) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+def long_form(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """key, pos (from 1), value of each component."""
+    flat = df.select(key, F.posexplode(vec).alias("p", "x"))
+    return flat.select(key, (F.col("p") + 1).cast("long").alias("pos"), F.round("x", R).alias("value"))
+
+
+def long_sql(select: str, key: str = "vec_id") -> str:
+    """The same, of a select with key and vec."""
+    return f"SELECT {key}, unnest(range(1, len(vec) + 1)) AS pos, round(unnest(vec), {R}) AS value FROM ({select})"
+
+
+E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS x, label::BIGINT AS label FROM embeddings)"
+CENT = (
+    "c AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(val) AS m FROM "
+    "(SELECT label, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS val FROM e) GROUP BY label, pos) GROUP BY label)"
+)
+
+
+def knn_sql(k: int = 10, where: str = "true", dist: str = "list_distance(q.x, e.x)", extra: str = "", cols: str = "", digits: int = R) -> str:
+    return f"""
+    WITH {E}, d AS (SELECT q.vec_id AS query_id, e.vec_id, {dist} AS distance {extra} FROM e q CROSS JOIN e WHERE {where}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+    SELECT query_id, vec_id, round(distance, {digits}) AS distance, rank {cols} FROM r WHERE rank <= {k}"""
+
+
+# --- search --------------------------------------------------------------------------------------------------------
+
+
+@query(knn_sql())
+def knn_batch(s, d):
+    e = emb(s, d)
+    return rounded(knn.knn(as_queries(e), e, 10), "distance")
+
+
+@query(knn_sql(1))
+def knn_exact(s, d):
+    e = emb(s, d)
+    return rounded(knn.knn(as_queries(e), e, 1), "distance")
+
+
+@query(knn_sql(dist="-list_dot_product(q.x, e.x)"))
+def knn_cosine(s, d):
+    e = emb(s, d)
+    return rounded(knn.knn(as_queries(e), e, 10, "dot"), "distance")
+
+
+@query(knn_sql(where="e.label >= 5 AND e.label <> 7"))
+def knn_filtered(s, d):
+    e = emb(s, d)
+    where = filters.on_columns({"label": {"$gte": 5, "$ne": 7}})
+    return rounded(knn.knn_filtered(as_queries(e), e, where, 10), "distance")
+
+
+@query(f"SELECT query_id, vec_id, distance, rank FROM ({knn_sql(extra=', e.label AS label', cols=', label')}) WHERE label = 3")
+def knn_post_filter(s, d):
+    e = emb(s, d)
+    return rounded(knn.knn_filtered(as_queries(e), e, F.col("label") == 3, 10, "post").select("query_id", "vec_id", "distance", "rank"), "distance")
+
+
+@query(f"SELECT h.query_id, h.vec_id, h.distance, h.rank, round(1 - h.distance * h.distance / 2, 4) AS score, t.lang, t.source, t.n_chars FROM ({knn_sql(5)}) h LEFT JOIN documents t ON t.doc_id = h.vec_id")
+def knn_documents(s, d):
+    e = emb(s, d)
+    hits = knn.with_scores(rounded(knn.knn(as_queries(e), e, 5), "distance")).withColumn("score", F.round("score", 4))
+    return knn.with_documents(hits, t(s, d, "documents"), "lang", "source", "n_chars").select("query_id", "vec_id", "distance", "rank", "score", "lang", "source", "n_chars")
+
+
+def label_index(s, d):
+    """Label means as coarse clusters, and quarters of a label by its first two components as fine ones."""
+    e = emb(s, d)
+    a = e.select("vec_id", "embedding", F.col("label").alias("coarse_id"), ((F.col("embedding")[0] > 0).cast("long") * 2 + (F.col("embedding")[1] > 0).cast("long")).alias("fine_id"))
+    return e, a
+
+
+PROBE = f"""{E}, {CENT}, p AS (SELECT * FROM (SELECT q.vec_id AS query_id, q.x AS qv, c.label AS coarse_id, list_distance(q.x, c.c) AS cd,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, c.c), c.label) AS pr FROM e q CROSS JOIN c) WHERE pr <= 5)"""
+FINE = "a AS (SELECT vec_id, x, label AS coarse_id, (x[1] > 0)::BIGINT * 2 + (x[2] > 0)::BIGINT AS fine_id FROM e)"
+FCENT = (
+    "fc AS (SELECT coarse_id, fine_id, list(m ORDER BY pos) AS c FROM (SELECT coarse_id, fine_id, pos, avg(val) AS m FROM "
+    "(SELECT coarse_id, fine_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS val FROM a) GROUP BY ALL) GROUP BY coarse_id, fine_id)"
+)
+
+
+def probes(s, d, n: int = 5):
+    e, a = label_index(s, d)
+    return ivf.probe(as_queries(e), ivf.centroids_of(a, "coarse_id"), n), a
+
+
+@query(f"WITH {PROBE} SELECT query_id, coarse_id, pr AS probe_rank, round(cd, {R}) AS centroid_distance FROM p")
+def ivf_label_probe(s, d):
+    p, _ = probes(s, d)
+    return p.select("query_id", "coarse_id", F.col("probe_rank").cast("long").alias("probe_rank"), F.round("centroid_distance", R).alias("centroid_distance"))
+
+
+@query(f"WITH {PROBE}, r AS (SELECT query_id, vec_id, cd, row_number() OVER (PARTITION BY query_id ORDER BY pr, vec_id) AS rank FROM p JOIN e ON e.label = p.coarse_id) SELECT query_id, vec_id, round(cd, {R}) AS distance, rank FROM r WHERE rank <= 10")
+def ivf_label_lod0(s, d):
+    p, a = probes(s, d)
+    return rounded(ivf.lod0(p, a, 10), "distance")
+
+
+@query(
+    f"""WITH {PROBE}, {FINE}, {FCENT}, n AS (SELECT * FROM (SELECT p.query_id, p.pr, p.coarse_id, fc.fine_id, list_distance(p.qv, fc.c) AS distance,
+  row_number() OVER (PARTITION BY p.query_id, p.coarse_id ORDER BY list_distance(p.qv, fc.c), fc.fine_id) AS r FROM p JOIN fc USING (coarse_id)) WHERE r = 1),
+  m AS (SELECT n.query_id, a.vec_id, n.distance, row_number() OVER (PARTITION BY n.query_id ORDER BY n.pr, a.vec_id) AS rank FROM n JOIN a USING (coarse_id, fine_id))
+  SELECT query_id, vec_id, round(distance, {R}) AS distance, rank FROM m WHERE rank <= 10"""
+)
+def ivf_label_lod1(s, d):
+    p, a = probes(s, d)
+    return rounded(ivf.lod1(p, a, ivf.centroids_of(a, "coarse_id", "fine_id"), 10), "distance")
+
+
+LOD2 = f"""WITH {PROBE}, {FINE}, m AS (SELECT p.query_id, a.vec_id, a.coarse_id, a.fine_id, list_distance(p.qv, a.x) AS distance,
+  row_number() OVER (PARTITION BY p.query_id ORDER BY list_distance(p.qv, a.x), a.vec_id) AS rank FROM p JOIN a USING (coarse_id))
+  SELECT query_id, vec_id, round(distance, {R}) AS distance, rank, coarse_id, fine_id FROM m WHERE rank <= 10"""
+
+
+@query(LOD2)
+def ivf_label_lod2(s, d):
+    p, a = probes(s, d)
+    return rounded(ivf.lod2(p, a, 10, "coarse_id", "fine_id"), "distance")
+
+
+@query(f"WITH f AS ({LOD2}), t AS ({knn_sql()}) SELECT count(f.vec_id)::DOUBLE / (count(DISTINCT t.query_id) * 10) AS recall, count(DISTINCT t.query_id) AS n_queries FROM t LEFT JOIN f USING (query_id, vec_id)")
+def ivf_label_recall(s, d):
+    e = emb(s, d)
+    p, a = probes(s, d)
+    return knn.recall(ivf.lod2(p, a, 10), knn.knn(as_queries(e), e, 10), 10)
+
+
+@query()
+def ivf_kmeans_recall(s, d):
+    e = emb(s, d)
+    index = ivf.build(e, 20, 20)
+    found = ivf.lod2(ivf.probe(as_queries(e), ivf.centroids_of(index, "coarse_id"), 10), index, 10)
+    return knn.recall(found, knn.knn(as_queries(e), e, 10), 10)
+
+
+@query()
+def lsh_recall(s, d):
+    e = emb(s, d)
+    found = lsh.query(as_queries(e), e, lsh.CrossPolytope(64, 20, 18), 1, 60, 600)
+    return knn.recall(found, knn.knn(as_queries(e), e, 1), 1)
+
+
+@query()
+def knn_auto(s, d):
+    e = emb(s, d)
+    return s.createDataFrame([(ivf.choose_index(e),)], "index string")
+
+
+@query(f"SELECT * FROM ({knn_sql(5)}) h JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id)")
+def join_meta(s, d):
+    e = emb(s, d)
+    return rounded(knn.knn(as_queries(e), e, 5), "distance").join(t(s, d, "embeddings").select("vec_id", "label"), "vec_id")
+
+
+# --- vector functions ----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {E} " + long_sql("SELECT vec_id, list_transform(x, lambda y: y / (sqrt(list_dot_product(x, x)) + 1e-8::DOUBLE)) AS vec FROM e"))
+def vec_normalize(s, d):
+    return long_form(emb(s, d).select("vec_id", v.normalize(F.col("embedding")).alias("n")), "vec_id", "n")
+
+
+PAIRS = f"WITH {E}, p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.x AS a, b.x AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id)"
+
+
+def pairs(s, d):
+    e = emb(s, d)
+    a, b = e.select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"), "label"), e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"), "label")
+    return a.join(b, "label").filter("a_id < b_id").drop("label")
+
+
+@query(
+    PAIRS + f""" SELECT a_id, b_id, round(list_dot_product(a, b), {R}) AS dot, round(list_distance(a, b), {R}) AS l2, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), {R}) AS cosine,
+  round(acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(a, b)))), {R}) AS geodesic FROM p"""
+)
+def vec_geodesic(s, d):
+    a, b = F.col("a"), F.col("b")
+    return pairs(s, d).select("a_id", "b_id", *[F.round(x, R).alias(n) for n, x in (("dot", v.dot(a, b)), ("l2", v.l2(a, b)), ("cosine", v.cosine(a, b)), ("geodesic", v.geodesic(a, b)))])
+
+
+@query(f"WITH {E}, {CENT} " + long_sql("SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: x[i] - list_dot_product(x, c) * c[i]) AS vec FROM e JOIN c USING (label)"))
+def vec_tangent(s, d):
+    e = emb(s, d)
+    j = e.join(ivf.centroids_of(e, "label"), "label")
+    return long_form(j.select("vec_id", v.tangent(F.col("embedding"), F.col("centroid")).alias("t")), "vec_id", "t")
+
+
+@query(f"WITH {E}, {CENT} SELECT vec_id, pos, round(x[pos] - c[pos], {R}) AS log_value, round(x[pos] + c[pos], {R}) AS exp_value FROM e JOIN c USING (label), unnest(range(1, len(x) + 1)) AS u(pos)")
+def vec_exp_log(s, d):
+    e = emb(s, d)
+    j = e.join(ivf.centroids_of(e, "label"), "label")
+    m = j.select("vec_id", F.arrays_zip(v.log_map(F.col("centroid"), F.col("embedding")).alias("l"), v.exp_map(F.col("centroid"), F.col("embedding")).alias("e")).alias("z"))
+    return m.select("vec_id", F.posexplode("z").alias("p", "z")).select("vec_id", (F.col("p") + 1).cast("long").alias("pos"), F.round("z.l", R).alias("log_value"), F.round("z.e", R).alias("exp_value"))
+
+
+@query(f"WITH {E} SELECT vec_id, round(sqrt(list_dot_product(x, x)), {R}) AS norm FROM e")
+def vec_norm_sql(s, d):
+    v.register(s)
+    emb(s, d).createOrReplaceTempView("orrery_embeddings")
+    return s.sql(f"SELECT vec_id, round(vec_norm(embedding), {R}) AS norm FROM orrery_embeddings")
+
+
+PLACES = "(VALUES ('boston', 42.3601, -71.0589), ('sf', 37.7749, -122.4194), ('miami', 25.7617, -80.1918), ('nowhere', NULL, NULL))"
+EDGES = "(VALUES ('ny', 40.7128, -74.0060), ('la', 34.0522, -118.2437), ('chicago', 41.8781, -87.6298))"
+
+
+def places(s):
+    p = s.createDataFrame([("boston", 42.3601, -71.0589), ("sf", 37.7749, -122.4194), ("miami", 25.7617, -80.1918), ("nowhere", None, None)], "place string, lat double, lon double")
+    return p, s.createDataFrame([("ny", 40.7128, -74.0060), ("la", 34.0522, -118.2437), ("chicago", 41.8781, -87.6298)], "edge string, lat double, lon double")
+
+
+HAV = "2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(e.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(e.lat)) * pow(sin(radians(e.lon - p.lon) / 2), 2)))"
+GEO = f"WITH p AS (SELECT place, lat::DOUBLE AS lat, lon::DOUBLE AS lon FROM {PLACES} AS t(place, lat, lon)), e AS (SELECT edge, lat::DOUBLE AS lat, lon::DOUBLE AS lon FROM {EDGES} AS t(edge, lat, lon))"
+
+
+@query(GEO + f" SELECT place, edge, round({HAV}, 4) AS km FROM p CROSS JOIN e")
+def vec_haversine(s, d):
+    p, e = places(s)
+    x = p.crossJoin(e.select("edge", F.col("lat").alias("a"), F.col("lon").alias("b")))
+    return x.select("place", "edge", F.round(v.haversine(F.col("lat"), F.col("lon"), F.col("a"), F.col("b")), 4).alias("km"))
+
+
+# --- filters -------------------------------------------------------------------------------------------------------
+
+
+def meta(s, d):
+    """id and JSON metadata of documents; quality is missing for most."""
+    x = t(s, d, "documents").join(t(s, d, "labels"), "doc_id", "left")
+    return x.select(F.col("doc_id").alias("id"), F.to_json(F.struct("lang", "source", "n_chars", "quality")).alias("metadata"))
+
+
+META = "(SELECT d.doc_id AS id, lang, source, n_chars, quality FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def filter_query(name: str, where: dict, sql: str):
+    def f(s, d):
+        return filters.ids_by_metadata(meta(s, d), where)
+
+    f.__name__ = name
+    query(f"SELECT id FROM {META} WHERE {sql}")(f)
+
+
+filter_query("filter_eq", {"lang": "de"}, "lang = 'de'")
+filter_query("filter_ne", {"quality": {"$ne": 1}}, "quality <> 1")
+filter_query("filter_range", {"n_chars": {"$gt": 500, "$lte": 2000}}, "n_chars > 500 AND n_chars <= 2000")
+filter_query("filter_gte_lt", {"n_chars": {"$gte": 1000, "$lt": 5000}}, "n_chars >= 1000 AND n_chars < 5000")
+filter_query("filter_multi", {"lang": "en", "source": {"$ne": "src0"}, "quality": {"$eq": 1}}, "lang = 'en' AND source <> 'src0' AND quality = 1")
+filter_query("filter_missing", {"missing": {"$ne": 1}}, "false")
+
+
+@query("SELECT event_id, event_type FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 AND event_type = 'click'")
+def filter_json(s, d):
+    where = filters.on_json({"k": {"$gte": 50}}, "props") & filters.on_columns({"event_type": "click"})
+    return t(s, d, "events").filter(where).select("event_id", "event_type")
+
+
+@query("SELECT vec_id, list_bool_and(list_transform(range(1, 4), lambda i: embedding[i] >= -0.1 AND embedding[i] <= 0.1)) AS inside FROM embeddings")
+def filter_box(s, d):
+    box = [F.array(*[F.lit(x)] * 3) for x in (-0.1, 0.1)]
+    return t(s, d, "embeddings").select("vec_id", v.within(F.slice("embedding", 1, 3), *[b.cast("array<float>") for b in box]).alias("inside"))
+
+
+# --- collections ---------------------------------------------------------------------------------------------------
+
+
+def rows_of(s, d):
+    e = emb(s, d).join(t(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "n_chars"), "vec_id", "left")
+    return e.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), F.to_json(F.struct("lang", "label")).alias("metadata"), F.concat(F.lit("doc "), F.col("n_chars").cast("string")).alias("document"), "label")
+
+
+def snapshot(s, d):
+    return collection.add(collection.empty(s), rows_of(s, d), 1)
+
+
+def shown(c: DataFrame) -> DataFrame:
+    return c.select("id", "document", "deleted", "version", F.round(F.get("vector", F.lit(0)).cast("double"), R).alias("first"))
+
+
+ROWS = f"SELECT CAST(vec_id AS VARCHAR) AS id, label, 'doc ' || CAST(n_chars AS VARCHAR) AS document, round(embedding[1]::DOUBLE, {R}) AS first FROM embeddings LEFT JOIN documents ON doc_id = vec_id"
+
+
+@query(f"SELECT id, CASE WHEN label < 3 THEN 'new' ELSE document END AS document, false AS deleted, CASE WHEN label < 3 THEN 2::BIGINT ELSE 1::BIGINT END AS version, first FROM ({ROWS})")
+def crud_add(s, d):
+    again = rows_of(s, d).filter("label < 3").withColumn("document", F.lit("new"))
+    return shown(collection.add(snapshot(s, d), again, 2))
+
+
+@query(f"SELECT id, CASE WHEN label > 5 THEN 'changed' ELSE document END AS document, label = 2 AS deleted, CASE WHEN label > 5 THEN 3::BIGINT ELSE 1::BIGINT END AS version, first FROM ({ROWS})")
+def crud_update(s, d):
+    r = rows_of(s, d)
+    c = collection.delete(snapshot(s, d), r.filter("label = 2"))
+    changes = r.filter("label > 5 or label = 2").select("id", F.lit("changed").alias("document"))
+    return shown(collection.update(c, changes, 3))
+
+
+@query(f"SELECT id, CASE WHEN label = 2 THEN 'back' ELSE document END AS document, false AS deleted, CASE WHEN label = 2 THEN 3::BIGINT ELSE 1::BIGINT END AS version, first FROM ({ROWS}) UNION ALL SELECT 'fresh', 'back', false, 3::BIGINT, NULL")
+def crud_upsert(s, d):
+    r = rows_of(s, d)
+    c = collection.delete(snapshot(s, d), r.filter("label = 2"))
+    changes = r.filter("label = 2").select("id", F.lit("back").alias("document")).unionByName(s.createDataFrame([("fresh", "back")], "id string, document string"))
+    return shown(collection.update(c, changes, 3, upsert=True))
+
+
+@query(f"SELECT id, CASE WHEN label = 2 THEN 'is deleted' ELSE 'updated' END AS status FROM ({ROWS}) UNION ALL SELECT 'absent', 'not found'")
+def crud_update_status(s, d):
+    r = rows_of(s, d)
+    c = collection.delete(snapshot(s, d), r.filter("label = 2"))
+    return collection.update_status(c, r.select("id").unionByName(s.createDataFrame([("absent",)], "id string")))
+
+
+@query(f"SELECT id, document, label = 4 AS deleted, 1::BIGINT AS version, first FROM ({ROWS})")
+def crud_soft_delete(s, d):
+    return shown(collection.delete_where(snapshot(s, d), filters.on_json({"label": 4})))
+
+
+@query(f"SELECT id, document, false AS deleted, 1::BIGINT AS version, first FROM ({ROWS}) WHERE label <> 4")
+def crud_hard_delete(s, d):
+    return shown(collection.delete(snapshot(s, d), rows_of(s, d).filter("label = 4"), hard=True))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE label <> 4) AS active, count(*) FILTER (WHERE label = 4) AS deleted FROM embeddings")
+def crud_stats(s, d):
+    return collection.stats(collection.delete_where(snapshot(s, d), filters.on_json({"label": 4})))
+
+
+@query(f"SELECT id, document, false AS deleted, 1::BIGINT AS version, first FROM ({ROWS}) WHERE id = '7'")
+def crud_get(s, d):
+    return shown(collection.get(snapshot(s, d), "7"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id FROM embeddings WHERE label <> 4")
+def crud_ids(s, d):
+    return collection.ids(collection.delete_where(snapshot(s, d), filters.on_json({"label": 4})))
+
+
+def log_of(s, d):
+    """Adds of all vectors, updates of one label, deletes of another, and adds again of a part of those."""
+    e = emb(s, d).withColumn("id", F.col("vec_id").cast("string"))
+    part = lambda rows, phase, op, doc: rows.select(F.lit(phase).alias("phase"), "vec_id", F.lit(op).alias("op"), "id", F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("metadata"), F.lit(doc).alias("document"))
+    log = part(e, 1, "add", "a").unionByName(part(e.filter("label = 1"), 2, "update", "b")).unionByName(part(e.filter("label < 3"), 3, "delete", None)).unionByName(part(e.filter("label = 0"), 4, "add", "c"))
+    return collection.numbered(log, ["phase", "vec_id"])
+
+
+LOG = """l AS (SELECT *, row_number() OVER (ORDER BY phase, vec_id) AS lsn FROM (
+  SELECT 1 AS phase, vec_id, 'add' AS op, label FROM embeddings UNION ALL SELECT 2, vec_id, 'update', label FROM embeddings WHERE label = 1
+  UNION ALL SELECT 3, vec_id, 'delete', label FROM embeddings WHERE label < 3 UNION ALL SELECT 4, vec_id, 'add', label FROM embeddings WHERE label = 0))"""
+
+
+@query(f"WITH {LOG} SELECT CAST(vec_id AS VARCHAR) AS id, CASE min(label) WHEN 0 THEN 'c' WHEN 1 THEN 'b' ELSE 'a' END AS document, min(label) IN (1, 2) AS deleted, max(lsn) AS version FROM l GROUP BY vec_id")
+def wal_replay(s, d):
+    return collection.replay(log_of(s, d)).select("id", "document", "deleted", "version")
+
+
+@query(f"WITH {LOG} SELECT lsn, op, CAST(vec_id AS VARCHAR) AS id FROM l WHERE lsn >= 100 UNION ALL SELECT max(lsn) + 1, 'checkpoint', NULL FROM l")
+def wal_truncate(s, d):
+    return collection.truncate(collection.checkpoint_row(log_of(s, d)), 100).select("lsn", "op", "id")
+
+
+@query("SELECT vec_id AS splat_id, row_number() OVER (ORDER BY label DESC, vec_id) AS position, (row_number() OVER (ORDER BY label DESC, vec_id) - 1) // 64 AS batch_id FROM embeddings")
+def batch_export(s, d):
+    splats = t(s, d, "embeddings").select(F.col("vec_id").alias("splat_id"), F.col("label").alias("kappa"))
+    return collection.export_batches(splats, 64).select("splat_id", "position", "batch_id")
+
+
+# --- energy --------------------------------------------------------------------------------------------------------
+
+
+def label_splats(s, d):
+    e = emb(s, d)
+    return dataset.splats_of(e, "label", e.count())
+
+
+SPLATS = f"""{E}, {CENT}, n AS (SELECT count(*) AS n FROM e), s AS (SELECT label, c AS mu, count(*) / any_value(n.n)::DOUBLE AS alpha, count(*) AS n_vectors, avg(list_distance(x, c)) AS mean_distance,
+  greatest(0.1::DOUBLE, least(100.0::DOUBLE, 1 / (var_pop(list_distance(x, c)) + 1e-8::DOUBLE + avg(list_distance(x, c)) + 1e-8::DOUBLE))) AS kappa FROM e JOIN c USING (label) CROSS JOIN n GROUP BY label, c)"""
+ENERGY = f"""{SPLATS}, g AS (SELECT e.vec_id AS id, sum(s.alpha * exp(-s.kappa * pow(list_distance(e.x, s.mu), 2))) AS total FROM e CROSS JOIN s GROUP BY e.vec_id),
+  en AS (SELECT id, CASE WHEN total < 1e-10::DOUBLE THEN 10.0::DOUBLE ELSE -ln(total) END AS energy FROM g)"""
+
+
+def points(s, d):
+    return emb(s, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+
+
+def label_energies(s, d):
+    return energy.energies(points(s, d), label_splats(s, d))
+
+
+@query(f"WITH {SPLATS} SELECT label, round(alpha, {R}) AS alpha, round(kappa, {R}) AS kappa, n_vectors, round(mean_distance, {R}) AS mean_distance FROM s")
+def dataset_splats(s, d):
+    return rounded(label_splats(s, d).drop("mu"), "alpha", "kappa", "mean_distance")
+
+
+@query(f"WITH {ENERGY} SELECT id, round(energy, {R}) AS energy FROM en")
+def energy_batch(s, d):
+    return rounded(label_energies(s, d), "energy")
+
+
+@query(f"WITH {ENERGY} SELECT id, round(1 / (1 + energy), {R}) AS confidence, CASE WHEN energy < 0.3 THEN 'high_confidence' WHEN energy < 0.7 THEN 'moderate' ELSE 'uncertain' END AS zone FROM en")
+def energy_confidence_zone(s, d):
+    return rounded(energy.with_confidence(label_energies(s, d)).select("id", "confidence", "zone"), "confidence")
+
+
+@query(
+    f"""WITH {SPLATS}, w AS (SELECT e.vec_id AS id, e.x, s.mu, s.kappa, s.alpha * exp(-s.kappa * pow(list_distance(e.x, s.mu), 2)) AS w FROM e CROSS JOIN s)
+  SELECT id, pos - 1 AS pos, round(CASE WHEN sum(w) > 1e-10::DOUBLE THEN sum(2 * kappa * w * (x[pos] - mu[pos])) / sum(w) ELSE sum(2 * kappa * w * (x[pos] - mu[pos])) END, {R}) AS value FROM w, unnest(range(1, len(x) + 1)) AS u(pos) GROUP BY id, pos"""
+)
+def energy_gradient(s, d):
+    return rounded(energy.gradient(points(s, d), label_splats(s, d)), "value")
+
+
+@query(
+    f"""WITH {SPLATS}, m AS (SELECT i AS id, (i // 20) * (2.0::DOUBLE / 19) - 1 AS gx, (i % 20) * (2.0::DOUBLE / 19) - 1 AS gy FROM range(400) AS r(i)),
+  g AS (SELECT id, sum(alpha * exp(-kappa * (pow(gx - mu[1], 2) + pow(gy - mu[2], 2) + list_sum(list_transform(mu[3:], lambda y: y * y))))) AS total FROM m CROSS JOIN s GROUP BY id)
+  SELECT id, round(CASE WHEN total < 1e-10::DOUBLE THEN 10.0::DOUBLE ELSE -ln(total) END, {R}) AS energy FROM g"""
+)
+def energy_map(s, d):
+    return rounded(energy.energies(energy.grid(s, 20, 1.0, 64).select("id", "x"), label_splats(s, d)), "energy")
+
+
+@query(f"WITH {SPLATS} SELECT round(-ln(sum(alpha * n_vectors)), {R}) AS free_energy FROM s")
+def energy_free(s, d):
+    return rounded(energy.free_energy(label_splats(s, d).select((F.col("alpha") * F.col("n_vectors")).alias("alpha"))), "free_energy")
+
+
+@query(f"WITH {ENERGY} SELECT id, round(energy - 1.0::DOUBLE * 0.5, {R}) AS composite FROM en")
+def energy_composite(s, d):
+    return rounded(energy.composite(label_energies(s, d), temperature=1.0).select("id", "composite"), "composite")
+
+
+@query(
+    f"""WITH {ENERGY}, k AS (SELECT label, avg(energy) AS e, count(*) AS n FROM en JOIN embeddings ON vec_id = id GROUP BY label),
+  v AS (SELECT var_pop(e) AS ev, var_pop(n) AS sv, count(*) AS n_clusters FROM k), i AS (SELECT *, 0.6::DOUBLE * ev / (ev + 1) + 0.4::DOUBLE * sv / (sv + 1) AS idx FROM v)
+  SELECT round(ev, {R}) AS energy_variance, round(sv, {R}) AS size_variance, n_clusters, round(idx, {R}) AS criticality_index, CASE WHEN idx < 0.3 THEN 'subcritical' WHEN idx < 0.7 THEN 'critical' ELSE 'supercritical' END AS state FROM i"""
+)
+def soc_criticality(s, d):
+    x = label_energies(s, d).join(emb(s, d).select(F.col("vec_id").alias("id"), F.col("label").alias("cluster_id")), "id")
+    return rounded(energy.criticality(x), "energy_variance", "size_variance", "criticality_index")
+
+
+@query(f"WITH {SPLATS} SELECT label, round(alpha, {R}) AS alpha FROM s WHERE alpha >= 0.1")
+def soc_consolidate(s, d):
+    return rounded(energy.consolidate(label_splats(s, d), 0.1).select("label", "alpha"), "alpha")
+
+
+@query(f"WITH {SPLATS}, r AS (SELECT label, alpha * (1 + 0.05::DOUBLE * exp(-0.1::DOUBLE * kappa)) AS a, kappa FROM s) SELECT label, round(a / sum(a) OVER (), {R}) AS alpha, round(greatest(0.1::DOUBLE, least(100.0::DOUBLE, kappa * 1.01::DOUBLE)), {R}) AS kappa FROM r")
+def soc_relax(s, d):
+    return rounded(energy.relax(label_splats(s, d)).select("label", "alpha", "kappa"), "alpha", "kappa")
+
+
+@query(f"SELECT query_id AS splat_id, vec_id AS neighbour_id, distance, rank FROM ({knn_sql(where='q.vec_id <> e.vec_id')}) WHERE distance <= 1.2")
+def soc_neighbors(s, d):
+    splats = t(s, d, "embeddings").select(F.col("vec_id").alias("splat_id"), F.col("embedding").alias("mu"))
+    return rounded(energy.neighbours_within(splats, 1.2), "distance")
+
+
+@query()
+def soc_avalanche(s, d):
+    splats = label_energies(s, d).join(points(s, d), "id").select(F.col("id").alias("splat_id"), "energy", F.lit(1.0).alias("alpha"), F.col("x").alias("mu"))
+    return rounded(energy.avalanche(splats, energy.neighbours_within(splats, 2.0)), "energy", "alpha")
+
+
+@query()
+def exp_regions(s, d):
+    p = points(s, d)
+    return energy.regions(p.join(energy.energies(p, label_splats(s, d)), "id"), 0.5, 10, 0.9)
+
+
+@query(f"WITH {ENERGY}, b AS (SELECT id, exp((energy - max(energy) OVER ()) / 0.5::DOUBLE) AS w FROM en) SELECT id, round(w / sum(w) OVER (), 9) AS p FROM b")
+def exp_boltzmann(s, d):
+    return rounded(energy.boltzmann(label_energies(s, d), 0.5).select("id", "p"), "p", digits=9)
+
+
+@query()
+def exp_uncertain(s, d):
+    return energy.boltzmann_sample(label_energies(s, d), 0.5, 50)
+
+
+@query()
+def langevin(s, d):
+    return energy.langevin(points(s, d), label_splats(s, d), 20)
+
+
+@query(f"WITH {ENERGY} SELECT h.query_id, h.vec_id, h.distance, h.rank, round(en.energy, {R}) AS energy, round(1 / (1 + en.energy), {R}) AS confidence FROM ({knn_sql(5)}) h JOIN en ON en.id = h.vec_id")
+def knn_energy(s, d):
+    e = emb(s, d)
+    hits = rounded(knn.knn(as_queries(e), e, 5), "distance").join(label_energies(s, d).withColumnRenamed("id", "vec_id"), "vec_id")
+    return rounded(energy.with_confidence(hits).drop("zone"), "energy", "confidence").select("query_id", "vec_id", "distance", "rank", "energy", "confidence")
+
+
+# --- shards and routing --------------------------------------------------------------------------------------------
+
+SHARD = "(WITH h AS (SELECT {id} AS id, md5(CAST({id} AS VARCHAR)) AS h FROM {table}), p AS (SELECT id, [CAST('0x' || h[1 + 8 * i : 8 + 8 * i] AS BIGINT) FOR i IN range(4)] AS p FROM h) SELECT id, (((((p[1] % 7) * (4294967296 % 7) + p[2]) % 7) * (4294967296 % 7) + p[3]) % 7 * (4294967296 % 7) + p[4]) % 7 AS n FROM p)"
+
+
+@query(f"SELECT id AS doc_id, 'edge-' || CAST(n AS VARCHAR) AS shard FROM {SHARD.format(id='doc_id', table='documents')}")
+def shard_hash(s, d):
+    return t(s, d, "documents").select("doc_id", shard.by_hash(F.col("doc_id").cast("string"), 7).alias("shard"))
+
+
+@query(f"WITH {E}, {CENT}, n AS (SELECT e.vec_id, arg_min(c.label, list_distance(e.x, c.c)) AS idx FROM e CROSS JOIN c GROUP BY e.vec_id) SELECT vec_id, 'edge-' || CAST(idx % 3 AS VARCHAR) AS shard FROM n")
+def shard_cluster(s, d):
+    e = emb(s, d)
+    return shard.by_centroid(e.select("vec_id", "embedding"), ivf.centroids_of(e, "label").withColumnRenamed("label", "idx"), 3)
+
+
+@query(GEO + f", x AS (SELECT place, edge, {HAV} AS km FROM p CROSS JOIN e) SELECT place, coalesce(arg_min(edge, km), min(edge)) AS shard FROM x GROUP BY place")
+def shard_geo(s, d):
+    return shard.by_geo(*places(s))
+
+
+LISTS = f"(WITH {E}, h AS {SHARD.format(id='vec_id', table='embeddings')}, d AS (SELECT q.vec_id AS query_id, h.n AS shard, e.vec_id, list_distance(q.x, e.x) AS distance, row_number() OVER (PARTITION BY q.vec_id, h.n ORDER BY list_distance(q.x, e.x), e.vec_id) AS place FROM e q CROSS JOIN e JOIN h ON h.id = e.vec_id) SELECT * FROM d WHERE place <= 10)"
+
+
+def shard_lists(s, d):
+    from pyspark.sql import Window as W
+
+    e = emb(s, d)
+    hashed = e.withColumn("shard", v.md5_mod(F.col("vec_id").cast("string"), 7))
+    x = as_queries(e).crossJoin(hashed.withColumnRenamed("embedding", "y")).withColumn("distance", v.l2(F.col("embedding"), F.col("y")))
+    w = W.partitionBy("query_id", "shard").orderBy("distance", "vec_id")
+    return x.withColumn("place", F.row_number().over(w)).filter("place <= 10").select("query_id", "shard", "vec_id", "distance")
+
+
+@query(f"WITH l AS {LISTS}, m AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + place)), 12) AS score, min(distance) AS distance FROM l GROUP BY query_id, vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m) SELECT query_id, vec_id, round(score, 9) AS score, round(distance, {R}) AS distance, rank FROM r WHERE rank <= 10")
+def merge_rrf(s, d):
+    return rounded(shard.merge(shard_lists(s, d), 10).withColumn("score", F.round("score", 9)), "distance")
+
+
+@query(f"WITH l AS {LISTS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM l) SELECT query_id, vec_id, round(distance, {R}) AS distance, rank FROM r WHERE rank <= 10")
+def merge_score(s, d):
+    return rounded(shard.merge(shard_lists(s, d), 10, "score").drop("score"), "distance")
+
+
+def nodes(s, d):
+    e = t(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.max("ts").alias("last"))
+    top = t(s, d, "events").agg(F.max("ts").alias("top"))
+    return e.crossJoin(top).select(
+        F.col("user_id").alias("node_id"), F.col("n").alias("active_queries"), F.col("m").alias("latency_ms"), (F.col("m") / (F.col("m") + 50)).alias("last_energy"), F.lit(1.0).alias("weight"),
+        (seconds("top") - seconds("last")).alias("seconds_since_heartbeat"),
+    )
+
+
+NODES = "n AS (SELECT user_id AS node_id, count(*) AS active, avg(value) AS latency, avg(value) / (avg(value) + 50) AS energy, max(ts) AS last FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {NODES} SELECT node_id, round(100.0::DOUBLE * active + latency, {R}) AS load, row_number() OVER (ORDER BY 100.0::DOUBLE * active + latency, node_id) AS rank FROM n")
+def route_least_loaded(s, d):
+    return rounded(shard.least_loaded(nodes(s, d)), "load")
+
+
+@query(f"WITH {NODES}, s AS (SELECT node_id, 0.4::DOUBLE * energy + 0.2::DOUBLE * least(active / 100.0::DOUBLE, 1.0::DOUBLE) + 0.3::DOUBLE * energy AS score FROM n) SELECT node_id, round(score, {R}) AS score, row_number() OVER (ORDER BY score, node_id) AS rank FROM s")
+def route_hybrid(s, d):
+    return rounded(shard.hybrid(nodes(s, d)), "score")
+
+
+@query(f"WITH {NODES}, s AS (SELECT node_id, 1 - least(energy, 1.0::DOUBLE) AS score FROM n) SELECT node_id, round(score, {R}) AS score, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM s")
+def route_locality(s, d):
+    return rounded(shard.locality(nodes(s, d)), "score")
+
+
+@query(f"WITH {NODES}, p AS (SELECT node_id, max(energy) OVER () - energy + 0.1::DOUBLE AS p FROM n) SELECT node_id, round(p / sum(p) OVER (), 9) AS p FROM p")
+def route_energy_probs(s, d):
+    return rounded(shard.energy_chances(nodes(s, d)), "p", digits=9)
+
+
+@query(f"WITH {NODES} SELECT node_id FROM n WHERE epoch((SELECT max(ts) FROM events)) - epoch(last) < 86400")
+def route_online(s, d):
+    return shard.online(nodes(s, d), 86400.0).select("node_id")
+
+
+@query("WITH q AS (SELECT DISTINCT conv_id FROM conversations), a AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS turn FROM q), n AS (SELECT DISTINCT user_id FROM events), b AS (SELECT user_id AS node_id, row_number() OVER (ORDER BY user_id) - 1 AS place FROM n) SELECT conv_id AS query_id, node_id FROM a JOIN b ON a.turn % (SELECT count(*) FROM n) = b.place")
+def route_round_robin(s, d):
+    q = t(s, d, "conversations").select(F.col("conv_id").alias("query_id")).distinct()
+    return shard.round_robin(q, nodes(s, d).select("node_id"))
+
+
+# --- control -------------------------------------------------------------------------------------------------------
+
+
+def metrics(s, d):
+    e = t(s, d, "events")
+    return e.select(F.col("user_id").alias("node_id"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("latency_ms"), F.col("value").alias("cpu"), (F.col("value") / 2).alias("memory"), F.get_json_object("props", "$.k").cast("double").alias("qps"), F.get_json_object("props", "$.k").cast("long").alias("active"))
+
+
+LATEST = "m AS (SELECT user_id AS node_id, arg_max(value, (ts, event_id)) AS value, arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), (ts, event_id)) AS k FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {LATEST} SELECT count(*) AS n_nodes, round(avg(value), {R}) AS cpu, round(avg(value / 2), {R}) AS memory, round(avg(value), {R}) AS latency_ms, round(sum(k::DOUBLE), {R}) AS qps, CAST(sum(k) AS BIGINT) AS active FROM m")
+def autoscale_latest(s, d):
+    return rounded(control.cluster_stats(metrics(s, d)), "cpu", "memory", "latency_ms", "qps")
+
+
+@query(
+    """WITH h AS (SELECT user_id AS node_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age FROM events), w AS (SELECT *, count(*) OVER (PARTITION BY node_id) AS n FROM h WHERE age <= 10),
+  s AS (SELECT node_id, count(*) AS n, avg(value) FILTER (WHERE age > n - n // 2) AS a, avg(value) FILTER (WHERE NOT age > n - n // 2) AS b FROM w GROUP BY node_id)
+  SELECT node_id, CASE WHEN n < 3 THEN 'stable' WHEN b - a > a * 0.1::DOUBLE THEN 'increasing' WHEN b - a < -(a * 0.1::DOUBLE) THEN 'decreasing' ELSE 'stable' END AS trend FROM s"""
+)
+def autoscale_trend(s, d):
+    return control.trends(metrics(s, d), "cpu")
+
+
+@query(f"WITH {LATEST}, s AS (SELECT avg(value) AS cpu, avg(value / 2) AS memory FROM m), r AS (SELECT CASE WHEN cpu > 80 THEN 'cpu' WHEN memory > 80 THEN 'memory' WHEN cpu > 20 THEN 'latency' WHEN cpu < 30 AND memory < 30 THEN 'idle' ELSE 'steady' END AS reason FROM s) SELECT CASE reason WHEN 'idle' THEN 'scale_down' WHEN 'steady' THEN 'none' ELSE 'scale_up' END AS action, CAST(CASE reason WHEN 'idle' THEN 2 WHEN 'steady' THEN 3 ELSE 4 END AS BIGINT) AS target, reason FROM r")
+def autoscale_decision(s, d):
+    return control.scaling(control.cluster_stats(metrics(s, d)), 3)
+
+
+@query(f"SELECT event_type, round(quantile_cont(value, 0.5), {R}) AS p50, round(quantile_cont(value, 0.95), {R}) AS p95, round(quantile_cont(value, 0.99), {R}) AS p99, round(avg(value), {R}) AS mean, round(min(value), {R}) AS least, round(max(value), {R}) AS greatest, count(*) AS n FROM events GROUP BY event_type")
+def latency_percentiles(s, d):
+    return rounded(control.percentiles(t(s, d, "events"), "value", "event_type"), "p50", "p95", "p99", "mean", "least", "greatest")
+
+
+def role_log(s, d):
+    return t(s, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("role").alias("query"))
+
+
+@query("WITH l AS (SELECT role AS q0, lead(role) OVER w AS q1, lead(role, 2) OVER w AS q2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT q0, q1, q2, count(*) AS n FROM l WHERE q2 IS NOT NULL GROUP BY ALL")
+def prefetch_patterns(s, d):
+    return control.patterns(role_log(s, d), 3)
+
+
+@query("WITH l AS (SELECT role AS query, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_query FROM conversations), c AS (SELECT query, next_query, count(*) AS n FROM l WHERE next_query IS NOT NULL GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, next_query) AS rank FROM c")
+def prefetch_next(s, d):
+    return control.next_queries(role_log(s, d))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS query, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, query LIMIT 10")
+def query_frequency(s, d):
+    return control.most_common(t(s, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("query")), 10)
+
+
+@query("SELECT user_id AS item, count(*) AS n, CASE WHEN count(*) >= 60 THEN 'hot' WHEN count(*) >= 6 THEN 'warm' ELSE 'cold' END AS tier FROM events GROUP BY user_id")
+def access_tiers(s, d):
+    return control.tiers_by_access(t(s, d, "events").select(F.col("user_id").alias("item")), 60)
+
+
+@query(f"WITH l AS (SELECT epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts, event_id) <= 864000 AS h FROM events) SELECT count(*) FILTER (WHERE h) AS hits, count(*) FILTER (WHERE h IS NOT TRUE) AS misses, round(count(*) FILTER (WHERE h) / count(*)::DOUBLE, {R}) AS hit_rate FROM l")
+def cache_stats(s, d):
+    log = t(s, d, "events").select(F.concat_ws("/", "user_id", F.get_json_object("props", "$.k")).alias("query"), seconds("ts").alias("at"), F.col("event_id").alias("seq"))
+    return rounded(control.cache_hits(log, 864000.0), "hit_rate")
+
+
+@query(f"WITH {SPLATS}, o AS (SELECT label, row_number() OVER (ORDER BY kappa DESC, label) AS r, count(*) OVER () AS n FROM s) SELECT label, CASE WHEN r <= floor(n * 0.2) THEN 'hot' WHEN r <= floor(n * 0.5) THEN 'warm' ELSE 'cold' END AS tier FROM o")
+def dataset_tiers(s, d):
+    return dataset.tiers(label_splats(s, d), "label", "kappa")
+
+
+@query(f"WITH {SPLATS}, h AS (SELECT label, count(*) AS n FROM (SELECT e.vec_id, arg_min(s.label, list_distance(e.x, s.mu)) AS label FROM e CROSS JOIN s GROUP BY e.vec_id) GROUP BY label), a AS (SELECT s.label, 0.4::DOUBLE * coalesce(h.n, 0) / max(coalesce(h.n, 0)) OVER () + 0.3::DOUBLE * n_vectors / max(n_vectors) OVER () + 0.3::DOUBLE * kappa / max(kappa) OVER () AS a FROM s LEFT JOIN h USING (label)) SELECT label, round(a / sum(a) OVER (), {R}) AS access FROM a")
+def dataset_access(s, d):
+    x = label_splats(s, d)
+    near = ivf.nearest(emb(s, d).select("vec_id", "embedding"), x.select(F.col("label").alias("coarse_id"), F.col("mu").alias("centroid")))
+    return rounded(dataset.access(x, near.groupBy(F.col("coarse_id").alias("label")).agg(F.count("*").alias("n")), "label"), "access")
+
+
+@query("SELECT count(*) AS splat_count, CAST(sum(n) * 256 AS BIGINT) AS original_bytes, CAST(sum(4 * 64 + 16 + 4 * n) AS BIGINT) AS compressed_bytes, round(sum(n) / count(*)::DOUBLE, 6) AS compression_ratio, round((1 - sum(272 + 4 * n) / (sum(n) * 256.0::DOUBLE)) * 100, 6) AS savings_pct FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+def dataset_compression(s, d):
+    return rounded(dataset.compression(label_splats(s, d), emb(s, d).count(), 64), "compression_ratio", "savings_pct")
+
+
+# --- graph and text ------------------------------------------------------------------------------------------------
+
+
+def doc_graph(s, d):
+    docs = t(s, d, "documents")
+    names = docs.select(F.col("source").alias("n")).union(docs.select("lang"))
+    n = graph.documents(docs, "doc_id", "doc_id").unionByName(graph.entities(names, "n"))
+    e = docs.select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("source"), F.explode(F.array(F.struct(F.concat(F.lit("e:"), F.lower("source")).alias("t"), F.lit("FROM").alias("r")), F.struct(F.concat(F.lit("e:"), F.lower("lang")).alias("t"), F.lit("IN").alias("r")))).alias("x"))
+    e = e.select("source", F.col("x.t").alias("target"), F.col("x.r").alias("relation"), F.lit(1.0).alias("weight"))
+    # every entity leads back to its first document
+    back = e.groupBy(F.col("target").alias("source")).agg(F.min(F.substring(F.col("source"), 3, 20).cast("long")).alias("m"))
+    back = back.select("source", F.concat(F.lit("d:"), F.col("m").cast("string")).alias("target"), F.lit("FIRST").alias("relation"), F.lit(1.0).alias("weight"))
+    return n, e.unionByName(back)
+
+
+GRAPH = """f AS (SELECT 'd:' || CAST(doc_id AS VARCHAR) AS source, 'e:' || lower(source) AS target, 'FROM' AS relation, doc_id FROM documents UNION ALL SELECT 'd:' || CAST(doc_id AS VARCHAR), 'e:' || lower(lang), 'IN', doc_id FROM documents),
+  ed AS (SELECT source, target, relation FROM f UNION ALL SELECT target, 'd:' || CAST(min(doc_id) AS VARCHAR), 'FIRST' FROM f GROUP BY target),
+  nd AS (SELECT 'd:' || CAST(doc_id AS VARCHAR) AS id, 'DOCUMENT' AS kind FROM documents UNION ALL SELECT DISTINCT target, 'ENTITY' FROM f)"""
+
+
+@query(f"WITH {GRAPH} SELECT id, (SELECT count(*) FROM ed WHERE source = id) AS out_degree, (SELECT count(*) FROM ed WHERE target = id) AS in_degree, (SELECT count(*) FROM ed WHERE source = id) + (SELECT count(*) FROM ed WHERE target = id) AS degree FROM nd")
+def graph_degree(s, d):
+    n, e = doc_graph(s, d)
+    return graph.degrees(n, e)
+
+
+@query(f"WITH RECURSIVE {GRAPH}, b AS (SELECT 'd:' || CAST(doc_id AS VARCHAR) AS id, 0::BIGINT AS depth FROM documents WHERE lang = 'fr' UNION SELECT ed.target, b.depth + 1 FROM b JOIN ed ON ed.source = b.id WHERE b.depth < 2) SELECT id, min(depth) AS depth FROM b GROUP BY id")
+def graph_bfs(s, d):
+    _, e = doc_graph(s, d)
+    start = t(s, d, "documents").filter("lang = 'fr'").select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"))
+    return graph.bfs(start, e, 2)
+
+
+@query(f"WITH {GRAPH}, k AS (SELECT 'd:' || CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang = 'de' UNION SELECT 'e:' || lower(source) FROM documents) SELECT source, target, relation FROM ed WHERE source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)")
+def graph_subgraph(s, d):
+    n, e = doc_graph(s, d)
+    docs = t(s, d, "documents")
+    keep = docs.filter("lang = 'de'").select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id")).union(docs.select(F.concat(F.lit("e:"), F.lower("source")))).distinct()
+    return graph.induced(e, keep).select("source", "target", "relation")
+
+
+@query(f"WITH {E}, {GRAPH}, o AS (SELECT source, count(*) AS n FROM ed GROUP BY source), h AS (SELECT query_id, vec_id, -distance AS sim FROM ({knn_sql(20, dist='-list_dot_product(q.x, e.x)', digits=15)})), j AS (SELECT query_id, vec_id, sim + least(0.05::DOUBLE * coalesce(n, 0), 0.2::DOUBLE) AS score FROM h LEFT JOIN o ON o.source = 'd:' || CAST(vec_id AS VARCHAR)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM j) SELECT query_id, vec_id, round(score, {R}) AS score, rank FROM r WHERE rank <= 10")
+def graph_hybrid(s, d):
+    n, e = doc_graph(s, d)
+    x = emb(s, d)
+    hits = knn.knn(as_queries(x), x, 20, "dot").withColumn("similarity", -F.col("distance"))
+    return rounded(graph.hybrid(hits, n, e, 10), "score")
+
+
+@query(f"WITH {GRAPH} SELECT k AS kind, (SELECT count(*) FROM nd WHERE kind = k) AS n FROM (VALUES ('DOCUMENT'), ('ENTITY'), ('CONCEPT'), ('RELATION')) AS v(k) UNION ALL SELECT 'EDGE', count(*) FROM ed")
+def graph_stats(s, d):
+    return graph.stats(*doc_graph(s, d))
+
+
+def text_sql(table: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS pattern, len(regexp_extract_all(text, '{p}')) AS n FROM {table}" for name, p, _ in text.PATTERNS)
+    return f"SELECT pattern, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (WHERE n > 0) AS n_docs FROM ({rows}) GROUP BY pattern"
+
+
+@query(text_sql("documents"))
+def text_structural(s, d):
+    return text.pattern_counts(t(s, d, "documents"))
+
+
+@query(text_sql("(SELECT html AS text FROM pages)"))
+def text_structural_pages(s, d):
+    return text.pattern_counts(t(s, d, "pages"), "html")
+
+
+@query()
+def text_ngrams(s, d):
+    return text.extract(t(s, d, "documents"), text.ngrams)
+
+
+@query()
+def text_entities(s, d):
+    return text.corpus_entities(text.extract(t(s, d, "documents")))
+
+
+@query()
+def graph_extract_store(s, d):
+    nodes_, edges_ = graph.mentions(text.extract(t(s, d, "documents")))
+    return graph.stats(nodes_, edges_)
+
+
+# --- encodings -----------------------------------------------------------------------------------------------------
+
+
+def splats3(s, d):
+    e = t(s, d, "embeddings").select("vec_id", v.doubles(F.col("embedding")).alias("x"))
+    a = lambda i, n: F.transform(F.slice("x", i, n), lambda y: F.abs(y) + 0.1)
+    return e.select("vec_id", F.slice("x", 1, 3).alias("position"), F.transform(F.slice("x", 4, 3), lambda y: F.least(F.abs(y) * 3, F.lit(1.0))).alias("color"), F.abs(F.col("x")[6]).alias("opacity"), a(8, 3).alias("scale"), F.slice("x", 11, 4).alias("rotation"))
+
+
+S3 = "g AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
+
+
+@query(
+    f"""WITH {S3}, b AS (SELECT min(x[1]) AS l1, max(x[1]) AS h1, min(x[2]) AS l2, max(x[2]) AS h2, min(x[3]) AS l3, max(x[3]) AS h3 FROM g),
+  n AS (SELECT vec_id, [(x[1] - l1) / (h1 - l1 + 1e-8::DOUBLE), (x[2] - l2) / (h2 - l2 + 1e-8::DOUBLE), (x[3] - l3) / (h3 - l3 + 1e-8::DOUBLE)] AS s FROM g CROSS JOIN b) """
+    + long_sql("SELECT vec_id, flatten([[sin(s[1] * pow(2, k)), cos(s[1] * pow(2, k)), sin(s[2] * pow(2, k)), cos(s[2] * pow(2, k)), sin(s[3] * pow(2, k)), cos(s[3] * pow(2, k))] FOR k IN range(10)]) AS vec FROM n")
+)
+def encode_position(s, d):
+    return long_form(encode.position(splats3(s, d)), "vec_id", "position_code")
+
+
+@query(
+    f"""WITH {S3}, o AS (SELECT vec_id, [least(floor(least(abs(x[i]) * 3, 1.0::DOUBLE) * 8), 7) FOR i IN [4, 5, 6]] AS b FROM g) """
+    + long_sql("SELECT vec_id, [exp(-(pow(k // 64 - b[1], 2) + pow((k // 8) % 8 - b[2], 2) + pow(k % 8 - b[3], 2)) / 4.0::DOUBLE) FOR k IN range(512)] AS vec FROM o")
+)
+def encode_color(s, d):
+    return long_form(splats3(s, d).select("vec_id", encode.color(F.col("color")).alias("c")), "vec_id", "c")
+
+
+@query(
+    f"""WITH {S3}, a AS (SELECT vec_id, abs(x[7]) AS o, abs(x[8]) + 0.1::DOUBLE AS sx, abs(x[9]) + 0.1::DOUBLE AS sy, abs(x[10]) + 0.1::DOUBLE AS sz, x[11] AS w, x[12] AS i, x[13] AS j, x[14] AS k, 1e-8::DOUBLE AS t FROM g) """
+    + long_sql(
+        "SELECT vec_id, list_concat([o, o * o, o * o * o, sqrt(o + t), ln(o + t), 1 - o, (o > 0.5)::INT::DOUBLE, (o < 0.5)::INT::DOUBLE, sx, sy, sz, sx * sy * sz, (sx + sy + sz) / 3, sqrt(sx * sx + sy * sy + sz * sz), sx / (sy + t), sx / (sz + t), sy / (sz + t), sx * sx, sy * sy, sz * sz, ln(sx + t), ln(sy + t), ln(sz + t)], "
+        "list_concat([0.0::DOUBLE FOR q IN range(9)], list_concat([w, i, j, k, w * w, i * i, j * j, k * k, w * i, w * j, w * k, i * j, i * k, j * k], [0.0::DOUBLE FOR q IN range(18)]))) AS vec FROM a"
+    )
+)
+def encode_attr(s, d):
+    return long_form(splats3(s, d).select("vec_id", encode.attributes(F.col("opacity"), F.col("scale"), F.col("rotation")).alias("c")), "vec_id", "c")
+
+
+@query()
+def encode_full(s, d):
+    return encode.full(splats3(s, d)).select("vec_id", F.size("code").cast("long").alias("n"), F.round(v.total(F.col("code")), 4).alias("total"))
+
+
+@query(
+    f"""WITH {S3}, q AS (SELECT vec_id, sqrt(x[11] ** 2 + x[12] ** 2 + x[13] ** 2 + x[14] ** 2) AS n, x[11] AS w0, x[12] AS x0, x[13] AS y0, x[14] AS z0 FROM g), u AS (SELECT vec_id, w0 / n AS w, x0 / n AS x, y0 / n AS y, z0 / n AS z FROM q) """
+    + long_sql("SELECT vec_id, [1 - 2 * (y * y + z * z), 2 * (x * y + w * z), 2 * (x * z - w * y), 2 * (x * y - w * z), 1 - 2 * (x * x + z * z), 2 * (y * z + w * x), 2 * (x * z + w * y), 2 * (y * z - w * x), 1 - 2 * (x * x + y * y)] AS vec FROM u")
+)
+def encode_rotation(s, d):
+    return long_form(splats3(s, d).select("vec_id", F.flatten(v.quat_matrix(F.col("rotation"))).alias("m")), "vec_id", "m")
