@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster names in spark.checkpoint.dir, with its scheme; where that is unset (tests), a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+        base = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="orrery-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return ("file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -30,11 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_table(df: DataFrame) -> None:
-    """Deletes what written() wrote, once nothing reads it any more, and lets Spark drop the shuffles behind it."""
+    """Deletes what written() wrote, once nothing reads it any more."""
     spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if name.startswith(shared_dir(spark)) or shared_dir(spark).removeprefix("file://") in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath():
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

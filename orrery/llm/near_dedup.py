@@ -29,7 +29,7 @@ from ._components import components
 from ._shared import column, doc_columns, written
 from ._tokens import sliced
 
-BITS, SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 20, 3, 24, 4, 0.5, 7
+BITS, SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 20, 3, 40, 4, 0.5, 7
 SLICES = 64
 TABLE = 1 << 16
 
