@@ -94,7 +94,7 @@ def test_license_scan_is_that_of_the_whole_text(make):
         "All rights reserved. all rights\nreserved",
         "Licensed under something else entirely",
         "spdx-license-identifier: mit",
-        "All rigths resered",
+        "All rights resered",
     ]
     s = licenses.Scanner()
     for t in texts:
