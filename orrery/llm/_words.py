@@ -60,5 +60,7 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, the same wherever it stands."""
     up, down = powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    np.multiply(buf, up[:-1], out=sums[1:], casting="unsafe", dtype=np.uint64)
+    sums[1:] += up[:-1]
+    np.cumsum(sums[1:], out=sums[1:])
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))

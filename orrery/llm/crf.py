@@ -136,7 +136,8 @@ def fit(texts: Sequence[str], good: Sequence[bool], steps: int = STEPS, penalty:
     """By gradient ascent (Adam) on the mean log-likelihood of a line; None if the labels don't differ."""
     if len(set(good)) < 2:
         return None
-    doc, _, x = line_features(texts)
+    parts = [(i, line_features(texts[i:j])) for i, j in sliced(texts)]
+    doc, x = np.concatenate([i + p[0] for i, p in parts]), np.concatenate([p[2] for _, p in parts])
     if not len(x):
         return None
     mean, scale = x.mean(0), x.std(0) + 1e-6
