@@ -103,13 +103,16 @@ def quat_normalize(q: Column) -> Column:
 
 def quat_matrix(q: Column) -> Column:
     """Rows of the rotation of a quaternion (w, x, y, z), in the convention in which [0][1] is 2 (xy + wz)."""
-    w, x, y, z = (quat_normalize(q)[i] for i in range(4))
-    rows = [
-        [1 - 2 * (y * y + z * z), 2 * (x * y + w * z), 2 * (x * z - w * y)],
-        [2 * (x * y - w * z), 1 - 2 * (x * x + z * z), 2 * (y * z + w * x)],
-        [2 * (x * z + w * y), 2 * (y * z - w * x), 1 - 2 * (x * x + y * y)],
-    ]
-    return F.array(*[F.array(*r) for r in rows])
+    w, *u = (quat_normalize(q)[i] for i in range(4))
+    length = u[0] * u[0] + u[1] * u[1] + u[2] * u[2]
+
+    def cell(i: int, j: int) -> Column:
+        if i == j:
+            return w * w - length + 2 * u[i] * u[i]
+        turn = w * u[3 - i - j]
+        return 2 * (u[i] * u[j] + (turn if (j - i) % 3 == 1 else -turn))
+
+    return F.array(*[F.array(*[cell(i, j) for j in range(3)]) for i in range(3)])
 
 
 def covariance(scale: Column, q: Column) -> Column:

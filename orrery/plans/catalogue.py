@@ -846,8 +846,8 @@ def encode_full(s, d):
 
 
 @query(
-    f"""WITH {S3}, q AS (SELECT vec_id, sqrt(x[11] ** 2 + x[12] ** 2 + x[13] ** 2 + x[14] ** 2) AS n, x[11] AS w0, x[12] AS x0, x[13] AS y0, x[14] AS z0 FROM g), u AS (SELECT vec_id, w0 / n AS w, x0 / n AS x, y0 / n AS y, z0 / n AS z FROM q) """
-    + long_sql("SELECT vec_id, [1 - 2 * (y * y + z * z), 2 * (x * y + w * z), 2 * (x * z - w * y), 2 * (x * y - w * z), 1 - 2 * (x * x + z * z), 2 * (y * z + w * x), 2 * (x * z + w * y), 2 * (y * z - w * x), 1 - 2 * (x * x + y * y)] AS vec FROM u")
+    f"""WITH {S3}, q AS (SELECT vec_id, list_transform(x[11:14], lambda y: y / sqrt(list_dot_product(x[11:14], x[11:14]))) AS q FROM g), u AS (SELECT vec_id, q[1] AS a, q[2] AS b, q[3] AS c, q[4] AS d FROM q) """
+    + long_sql("SELECT vec_id, [a * a + b * b - c * c - d * d, (b * c + a * d) * 2, (b * d - a * c) * 2, (b * c - a * d) * 2, a * a - b * b + c * c - d * d, (c * d + a * b) * 2, (b * d + a * c) * 2, (c * d - a * b) * 2, a * a - b * b - c * c + d * d] AS vec FROM u")
 )
 def encode_rotation(s, d):
     return long_form(splats3(s, d).select("vec_id", F.flatten(v.quat_matrix(F.col("rotation"))).alias("m")), "vec_id", "m")
