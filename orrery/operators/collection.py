@@ -90,7 +90,7 @@ def stats(snapshot: DataFrame) -> DataFrame:
     return snapshot.agg(F.count("*").alias("total"), F.count_if(~F.col("deleted")).alias("active"), F.count_if(F.col("deleted")).alias("deleted"))
 
 
-# --- log of operations: lsn, op (add, update, delete, checkpoint), id, vector, metadata, document --------------------
+# log of operations: lsn, op (add, update, delete, checkpoint), id, vector, metadata, document
 
 
 def numbered(log: DataFrame, order: list[str], first: int = 1) -> DataFrame:

@@ -110,4 +110,4 @@ class ResultCache:
 
     def stats(self) -> dict[str, float]:
         n = self.hits + self.misses
-        return {"hits": self.hits, "misses": self.misses, "evictions": self.evictions, "hit_rate": self.hits / n if n else 0.0}
+        return dict(hit_rate=self.hits / n if n else 0.0, hits=self.hits, misses=self.misses, evictions=self.evictions)

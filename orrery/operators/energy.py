@@ -113,7 +113,7 @@ def langevin(points: DataFrame, splats: DataFrame, steps: int = 200, dt: float =
     return points.select("id", doubles(F.col("x")).alias("x")).mapInPandas(run, "id long, x array<double>")
 
 
-# --- exploration ---------------------------------------------------------------------------------------------------
+# exploration
 
 
 def sample_points(spark, n: int, center: list[float], sigma: float, seed: int = 42) -> DataFrame:
@@ -156,7 +156,7 @@ def boltzmann_sample(points: DataFrame, temperature: float, k: int, seed: int =
     return boltzmann(points, temperature).withColumn("t", -F.log(F.rand(seed)) / F.col("p")).orderBy("t", "id").limit(k).drop("t")
 
 
-# --- self-organised criticality ------------------------------------------------------------------------------------
+# self-organised criticality
 
 
 def criticality(splats: DataFrame, by: str = "cluster_id") -> DataFrame:

@@ -53,7 +53,7 @@ def merge(lists: DataFrame, k: int, strategy: str = "rrf") -> DataFrame:
     return m.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-# --- routing: nodes (node_id, active_queries, latency_ms, last_energy, weight, seconds_since_heartbeat) ---------------
+# routing: nodes (node_id, active_queries, latency_ms, last_energy, weight, seconds_since_heartbeat)
 
 
 def online(nodes: DataFrame, limit: float = 30.0) -> DataFrame:

@@ -14,7 +14,7 @@ PATTERNS = (
     ("url", r"(?:https?://|www\.)[^<>\"\s]+", "url"),
     ("phone", r"\b(?:\d{3}[.-]?){2}\d{4}\b", "contact"),
     ("date_iso", r"\b\d{4}(?:-\d\d){2}\b", "date"),
-    ("money_usd", r"\$\d+(?:,\d\d\d)*(?:\.\d\d)?", "money"),
+    ("money_usd", r"[$]\d+(?:,\d\d\d)*(?:[.]\d\d)?", "money"),
 )
 STOPWORDS = frozenset("a an and ante are at con de del e el en es for in is la las los o on or para por que son the to u un una unas unos with y".split())
 CONNECTORS = frozenset("de del el la y".split())
@@ -49,7 +49,7 @@ def ngrams(text: str) -> list[tuple[str, str, float, int, list[int]]]:
         while j < len(tokens) and j - i < LONGEST:
             if proper(tokens[j][0]):
                 j += 1
-            elif tokens[j][0].lower() in CONNECTORS and j + 1 < len(tokens) and tokens[j + 1][0].istitle():
+            elif tokens[j][0].lower() in CONNECTORS and tokens[j + 1 :] and tokens[j + 1][0].istitle():
                 j += 2
             else:
                 break

@@ -82,7 +82,7 @@ def knn_sql(k: int = 10, where: str = "true", dist: str = "list_distance(q.x, e.
     SELECT query_id, vec_id, round(distance, {digits}) AS distance, rank {cols} FROM r WHERE rank <= {k}"""
 
 
-# --- search --------------------------------------------------------------------------------------------------------
+# search
 
 
 @query(knn_sql())
@@ -212,7 +212,7 @@ def join_meta(s, d):
     return rounded(knn.knn(as_queries(e), e, 5), "distance").join(t(s, d, "embeddings").select("vec_id", "label"), "vec_id")
 
 
-# --- vector functions ----------------------------------------------------------------------------------------------
+# vector functions
 
 
 @query(f"WITH {E} " + long_sql("SELECT vec_id, list_transform(x, lambda y: y / (sqrt(list_dot_product(x, x)) + 1e-8::DOUBLE)) AS vec FROM e"))
@@ -280,7 +280,7 @@ def vec_haversine(s, d):
     return x.select("place", "edge", F.round(v.haversine(F.col("lat"), F.col("lon"), F.col("a"), F.col("b")), 4).alias("km"))
 
 
-# --- filters -------------------------------------------------------------------------------------------------------
+# filters
 
 
 def meta(s, d):
@@ -320,7 +320,7 @@ def filter_box(s, d):
     return t(s, d, "embeddings").select("vec_id", v.within(F.slice("embedding", 1, 3), *[b.cast("array<float>") for b in box]).alias("inside"))
 
 
-# --- collections ---------------------------------------------------------------------------------------------------
+# collections
 
 
 def rows_of(s, d):
@@ -422,7 +422,7 @@ def batch_export(s, d):
     return collection.export_batches(splats, 64).select("splat_id", "position", "batch_id")
 
 
-# --- energy --------------------------------------------------------------------------------------------------------
+# energy
 
 
 def label_splats(s, d):
@@ -546,7 +546,7 @@ def knn_energy(s, d):
     return rounded(energy.with_confidence(hits).drop("zone"), "energy", "confidence").select("query_id", "vec_id", "distance", "rank", "energy", "confidence")
 
 
-# --- shards and routing --------------------------------------------------------------------------------------------
+# shards and routing
 
 SHARD = "(WITH h AS (SELECT {id} AS id, md5(CAST({id} AS VARCHAR)) AS h FROM {table}), p AS (SELECT id, [CAST('0x' || h[1 + 8 * i : 8 + 8 * i] AS BIGINT) FOR i IN range(4)] AS p FROM h) SELECT id, (((((p[1] % 7) * (4294967296 % 7) + p[2]) % 7) * (4294967296 % 7) + p[3]) % 7 * (4294967296 % 7) + p[4]) % 7 AS n FROM p)"
 
@@ -633,7 +633,7 @@ def route_round_robin(s, d):
     return shard.round_robin(q, nodes(s, d).select("node_id"))
 
 
-# --- control -------------------------------------------------------------------------------------------------------
+# control
 
 
 def metrics(s, d):
@@ -715,7 +715,7 @@ def dataset_compression(s, d):
     return rounded(dataset.compression(label_splats(s, d), emb(s, d).count(), 64), "compression_ratio", "savings_pct")
 
 
-# --- graph and text ------------------------------------------------------------------------------------------------
+# graph and text
 
 
 def doc_graph(s, d):
@@ -800,7 +800,7 @@ def graph_extract_store(s, d):
     return graph.stats(nodes_, edges_)
 
 
-# --- encodings -----------------------------------------------------------------------------------------------------
+# encodings
 
 
 def splats3(s, d):
