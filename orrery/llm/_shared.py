@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: dict[str, str] = {}
 
 
@@ -26,8 +27,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python of 8 MB at most, as a worker holds several copies of one, unless the session has set its own size."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "8m")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts lineage and outlives lost executors."""
+    small_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -49,6 +57,7 @@ def column(df: DataFrame, name: str) -> Column:
 
 def doc_columns(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id (long), text and the named extras (null where missing); every other column is left behind."""
+    small_batches(docs.sparkSession)
     cols = [column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").cast("string").alias("text")]
     for name in extra:
         cols.append((column(docs, name) if name in docs.columns else F.lit(None)).cast("string").alias(name))

@@ -62,7 +62,7 @@ def batches_of(batches, columns=("doc_id", "text")):
     """Lists of ids and texts, of a bounded number of characters."""
     for b in batches:
         ids, texts = b[columns[0]].to_numpy(zero_copy_only=False), [x or "" for x in b[columns[1]].to_pylist()]
-        for i, j in sliced(texts):
+        for i, j in sliced(texts, 1_000_000):
             yield ids[i:j], texts[i:j]
 
 
