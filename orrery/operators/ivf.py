@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, l2
+from .knn import grouped_knn, ranked
 
 
 def centroids_of(assigned: DataFrame, *keys: str) -> DataFrame:
@@ -81,10 +82,11 @@ def lod1(probes: DataFrame, assigned: DataFrame, fine_centroids: DataFrame, k: i
 
 
 def lod2(probes: DataFrame, assigned: DataFrame, k: int, *details: str) -> DataFrame:
-    """Exact distances to all members of the probed clusters; the join on coarse_id prunes partitions of a stored index."""
-    own = probes.select("query_id", "qv", "coarse_id").join(assigned, "coarse_id").withColumn("distance", l2(F.col("qv"), F.col("embedding")))
-    w = W.partitionBy("query_id").orderBy("distance", "vec_id")
-    return own.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank", *details)
+    """Exact distances to all members of the probed clusters: a query goes to each cluster that it probes, and k rows of
+    each come back."""
+    q = probes.select("query_id", "coarse_id", F.col("qv").alias("embedding"))
+    hits = ranked(grouped_knn(q, assigned, "coarse_id", k), k)
+    return hits.join(assigned.select("vec_id", *details), "vec_id").select("query_id", "vec_id", "distance", "rank", *details) if details else hits
 
 
 def save(assigned: DataFrame, path: str) -> None:

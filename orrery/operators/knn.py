@@ -40,6 +40,62 @@ def exact(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return -np.cumsum(q * v, 1)[:, -1] if metric == "dot" else np.sqrt(np.cumsum((q - v) ** 2, 1)[:, -1])
 
 
+def nearest(qi: np.ndarray, q: np.ndarray, vi: np.ndarray, v: np.ndarray, k: int, metric: str, keep_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query (by its place) at least its k nearest, with near ties: places, ids, exact distances."""
+    s = scores(q, v, metric)
+    if not keep_self:
+        s[qi[:, None] == vi[None, :]] = np.inf
+    n = min(k, len(vi))
+    edge = np.partition(s, n - 1, 1)[:, n - 1 : n]
+    # near ties stay until they are measured exactly
+    i, j = np.nonzero((s <= edge + 1e-9 * (1 + np.abs(edge))) & np.isfinite(s))
+    return i, vi[j], exact(q[i], v[j], metric)
+
+
+def best(i: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first of each place by distance, then id."""
+    order = np.lexsort((ids, d, i))
+    i, ids, d = i[order], ids[order], d[order]
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+    m = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
+    return i[m], ids[m], d[m]
+
+
+def grouped_knn(queries: DataFrame, vectors: DataFrame, key: str, k: int, metric: str = "l2") -> DataFrame:
+    """key, query_id, vec_id, distance: for each query of a group the k nearest vectors of that group.
+
+    Both sides are shuffled by the key (a long), and a group is a task's matrix product: groups are index clusters or
+    shards, whose size their maker sets."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(key).cast("long").alias("g"), F.col(name).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("g is not null and id is not null and size(v) > 0")
+
+    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = t["id"].to_numpy()
+        return ids, t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    def run(group: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(left) and len(right):
+            (qi, q), (vi, v) = matrix(left), matrix(right)
+            for a in range(0, len(qi), 1024):
+                own = qi[a : a + 1024]
+                i, ids, d = best(*nearest(own, q[a : a + 1024], vi, v, k, metric, True), k)
+                out.append((own[i], ids, d))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"g": pa.array([group[0].as_py()] * len(cols[0]), pa.int64()), "query_id": cols[0], "vec_id": cols[1], "distance": cols[2]})
+
+    found = side(queries, "query_id").groupBy("g").cogroup(side(vectors, "vec_id").groupBy("g")).applyInArrow(run, "g long, query_id long, vec_id long, distance double")
+    return found.withColumnRenamed("g", key)
+
+
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, distance, rank: the k first of each query's rows of hits."""
+    lists = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, k).alias("l"))
+    flat = lists.select("query_id", F.posexplode("l").alias("pos", "x"))
+    return flat.select("query_id", F.col("x.vec_id").alias("vec_id"), F.col("x.distance").alias("distance"), (F.col("pos") + 1).cast("long").alias("rank"))
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "l2", q_cols=("query_id", "embedding"), v_cols=("vec_id", "embedding"), keep_self: bool = True) -> DataFrame:
     """query_id, vec_id, distance (l2, or for "dot" the negative product), rank from 1; ties go by vec_id."""
     pairs = packed(vectors, *v_cols, ("v_ids", "v")).crossJoin(packed(queries, *q_cols, ("q_ids", "q")))
@@ -51,37 +107,22 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "l2",
         def flush():
             for q_ids, parts in held.items():
                 q = np.frombuffer(q_ids, np.int64)
-                i = np.concatenate([p[0] for p in parts])
-                ids, d = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-                order = np.lexsort((ids, d, i))
-                i, ids, d = i[order], ids[order], d[order]
-                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-                rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-                m = rank < k
-                yield pa.RecordBatch.from_arrays([pa.array(q[i[m]]), pa.array(ids[m]), pa.array(d[m])], ["query_id", "vec_id", "distance"])
+                i, ids, dist = best(*(np.concatenate([p[j] for p in parts]) for j in range(3)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(ids), pa.array(dist)], ["query_id", "vec_id", "distance"])
 
         for b in batches:
             for v_ids, v, q_ids, q in zip(*(b[c].to_pylist() for c in ("v_ids", "v", "q_ids", "q")), strict=True):
                 vi, qi = np.frombuffer(v_ids, np.int64), np.frombuffer(q_ids, np.int64)
                 v, q = np.frombuffer(v, np.float64).reshape(len(vi), -1), np.frombuffer(q, np.float64).reshape(len(qi), -1)
-                s = scores(q, v, metric)
-                if not keep_self:
-                    s[qi[:, None] == vi[None, :]] = np.inf
-                n = min(k, len(vi))
-                edge = np.partition(s, n - 1, 1)[:, n - 1 : n]
-                # near ties stay until they are measured exactly
-                i, j = np.nonzero((s <= edge + 1e-9 * (1 + np.abs(edge))) & np.isfinite(s))
-                held.setdefault(q_ids, []).append((i, vi[j], exact(q[i], v[j], metric)))
-                size += len(i)
+                part = nearest(qi, q, vi, v, k, metric, keep_self)
+                held.setdefault(q_ids, []).append(part)
+                size += len(part[0])
                 if size > FLUSH:
                     yield from flush()
                     held, size = {}, 0
         yield from flush()
 
-    near = pairs.mapInArrow(run, "query_id long, vec_id long, distance double")
-    lists = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))), 1, k).alias("l"))
-    flat = lists.select("query_id", F.posexplode("l").alias("pos", "x"))
-    return flat.select("query_id", F.col("x.vec_id").alias("vec_id"), F.col("x.distance").alias("distance"), (F.col("pos") + 1).cast("long").alias("rank"))
+    return ranked(pairs.mapInArrow(run, "query_id long, vec_id long, distance double"), k)
 
 
 def knn_filtered(queries: DataFrame, vectors: DataFrame, where, k: int = 10, mode: str = "pre", **options) -> DataFrame:

@@ -571,13 +571,9 @@ LISTS = f"(WITH {E}, h AS {SHARD.format(id='vec_id', table='embeddings')}, d AS
 
 
 def shard_lists(s, d):
-    from pyspark.sql import Window as W
-
     e = emb(s, d)
     hashed = e.withColumn("shard", v.md5_mod(F.col("vec_id").cast("string"), 7))
-    x = as_queries(e).crossJoin(hashed.withColumnRenamed("embedding", "y")).withColumn("distance", v.l2(F.col("embedding"), F.col("y")))
-    w = W.partitionBy("query_id", "shard").orderBy("distance", "vec_id")
-    return x.withColumn("place", F.row_number().over(w)).filter("place <= 10").select("query_id", "shard", "vec_id", "distance")
+    return knn.grouped_knn(as_queries(e).crossJoin(s.range(7).select(F.col("id").alias("shard"))), hashed, "shard", 10)
 
 
 @query(f"WITH l AS {LISTS}, m AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + place)), 12) AS score, min(distance) AS distance FROM l GROUP BY query_id, vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m) SELECT query_id, vec_id, round(score, 9) AS score, round(distance, {R}) AS distance, rank FROM r WHERE rank <= 10")

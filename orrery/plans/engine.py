@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters
-from ..functions.vectors import query_key
+from ..functions.vectors import md5_mod, query_key
 from ..operators import collection, control, energy, ivf, knn, lsh, shard
 
 LONGEST_CHAIN = 20
@@ -118,12 +118,9 @@ class Collection:
         return knn.with_scores(hits).join(rows.select("vec_id", "id"), "vec_id").drop("vec_id")
 
     def search_sharded(self, queries: DataFrame, k: int = 10, n_shards: int = 4, strategy: str = "rrf") -> DataFrame:
-        """Searches hash shards one by one and merges their lists."""
-        rows = self._numbered(None).withColumn("shard", shard.by_hash(F.col("id"), n_shards))
-        lists = None
-        for i in range(n_shards):
-            own = knn.knn(queries, rows.filter(F.col("shard") == f"edge-{i}"), k).withColumn("shard", F.lit(f"edge-{i}"))
-            lists = own if lists is None else lists.unionByName(own)
+        """Searches hash shards each by itself and merges their lists."""
+        rows = self._numbered(None).withColumn("shard", md5_mod(F.col("id"), n_shards))
+        lists = knn.grouped_knn(queries.crossJoin(self.spark.range(n_shards).select(F.col("id").alias("shard"))), rows, "shard", k)
         return shard.merge(lists, k, strategy).join(rows.select("vec_id", "id"), "vec_id").drop("vec_id")
 
 
