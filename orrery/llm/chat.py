@@ -103,7 +103,7 @@ def field(x: Any, key: Any) -> Any:
     raise TemplateError(f"{type(x).__name__} has no field {key!r}")
 
 
-# --- syntax tree: tuples (kind, ...) -------------------------------------------------------------------------------
+# syntax tree: tuples (kind, ...)
 
 
 def lex(source: str) -> list[tuple[str, Any]]:
@@ -372,7 +372,7 @@ def parse(source: str):
     return block()[0]
 
 
-# --- folding -------------------------------------------------------------------------------------------------------
+# folding
 
 
 def fold(tree):
@@ -406,7 +406,7 @@ def fold(tree):
     return tree
 
 
-# --- closures ------------------------------------------------------------------------------------------------------
+# closures
 
 
 def value(tree) -> Callable[[dict], Any]:
