@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "8m")
 
 
+def trim() -> None:
+    """Gives a worker's freed memory back to the machine, which the allocators else keep for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts lineage and outlives lost executors."""
     small_batches(df.sparkSession)

@@ -20,7 +20,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
-def sliced(texts: Sequence[str], most: int = 2_000_000) -> Iterable[tuple[int, int]]:
+def sliced(texts: Sequence[str], most: int = 500_000) -> Iterable[tuple[int, int]]:
     """Ranges of texts of about so many characters at most, one text at least."""
     start = size = 0
     for i, x in enumerate(texts):

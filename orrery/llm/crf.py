@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._shared import column, doc_columns
+from ._shared import column, doc_columns, trim
 from ._tokens import sliced
 
 MOST, STEPS, ACCEPT = 3000, 150, 0.5
@@ -199,6 +199,7 @@ def quality(text: Column, f: Field | None) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         texts = [x or "" for x in texts]
         out = [qualities(texts[a:b], f) for a, b in sliced(texts)]
+        trim()
         return pd.Series(np.concatenate(out) if out else np.zeros(0)).astype(object).where(lambda s: s.notna(), None)
 
     return run(text)

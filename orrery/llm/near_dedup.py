@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 
 from . import _words
 from ._components import components
-from ._shared import column, doc_columns, written
+from ._shared import column, doc_columns, trim, written
 from ._tokens import sliced
 
 BITS, SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 20, 3, 40, 4, 0.5, 7
@@ -62,8 +62,9 @@ def batches_of(batches, columns=("doc_id", "text")):
     """Lists of ids and texts, of a bounded number of characters."""
     for b in batches:
         ids, texts = b[columns[0]].to_numpy(zero_copy_only=False), [x or "" for x in b[columns[1]].to_pylist()]
-        for i, j in sliced(texts, 1_000_000):
+        for i, j in sliced(texts):
             yield ids[i:j], texts[i:j]
+    trim()
 
 
 def document_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:

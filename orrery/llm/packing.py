@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import doc_columns, written
+from ._shared import doc_columns, trim, written
 from ._tokens import TOKENIZERS, byte_tokens, file_bytes
 
 SCHEMA = "window_id long, n_tokens int, tokens array<int>, segments array<struct<doc_id:long,start:int,end:int,doc_start:long>>"
@@ -45,6 +45,7 @@ def tokenised(docs: DataFrame, ranks: bytes, end_id: int) -> DataFrame:
                 ["part", "seq", "doc_id", "start", "tokens"],
             )
             seq += n
+        trim()
 
     return docs.mapInArrow(run, "part int, seq long, doc_id long, start long, tokens binary")
 
@@ -115,6 +116,7 @@ def cut(window: int, bases: dict[int, int], whole: bool):
         closing = True
         if size and (rows := emit(np.concatenate(kept), first, segs)[0]):
             yield batch(rows)
+        trim()
 
     return run
 
