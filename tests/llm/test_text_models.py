@@ -73,6 +73,18 @@ def test_fertility_bands(make):
     assert np.isfinite(q)
 
 
+def test_fertility_judges_thin_bands(make, spark):
+    rows = [(i, prose(i, 200)) for i in range(80)]
+    junk = [(100, "For " * 9_000, "en"), (101, "Und " * 200, "xx"), (102, "Und " * 9_000, None)]
+    clean = [(200, prose(200, 200), "xx"), (201, prose(201, 200), None)]
+    docs = make(rows).unionByName(spark.createDataFrame([(i, t, g, "src", len(t)) for i, t, g in junk + clean], "doc_id long, text string, lang string, source string, n_chars long"))
+    got = {r.doc_id: r.verdict for r in fertility.fertility(docs).collect()}
+    assert "keep" not in {got[i] for i, _, _ in junk}
+    assert {got[i] for i in [*range(80), 200, 201]} == {"keep"}
+    assert {r.doc_id for r in fertility.keep_fertile(docs).collect()} == {*range(80), 200, 201}
+    assert [fertility.script(x) for x in ("", "!? 1", "abc", "abc где это", "日本語のテキスト", "ทดสอบ")] == ["other", "other", "latin", "cyrillic", "other", "other"]
+
+
 def test_fertility_odd_rows(make, odd, spark):
     df = make(odd, clashing=True)
     got = fertility.fertility(df)
