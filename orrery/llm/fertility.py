@@ -26,7 +26,7 @@ from ._tokens import TOKENIZERS, file_bytes, piece_tokens
 
 #: statistic: the least interquartile range that a band takes for it
 STATS = {"chars_per_token": 0.03, "byte_share": 0.004, "token_entropy": 0.008}
-WIDTH, LEAST = 6.0, 30
+WIDTH, LEAST = 4.0, 30
 
 
 def statistics(text: Column, model: bytes) -> Column:

@@ -5,6 +5,7 @@ import pytest
 import regex
 import tiktoken
 from conftest_llm import prose
+from pyspark.sql import functions as F
 
 from orrery.llm import bpe, crf, fertility, licenses, packing
 from orrery.llm._tokens import PATTERN, byte_tokens, file_bytes, piece_tokens, read_ranks
@@ -85,6 +86,14 @@ def test_fertility_judges_thin_bands(make, spark):
     assert [fertility.script(x) for x in ("", "!? 1", "abc", "abc где это", "日本語のテキスト", "ทดสอบ")] == ["other", "other", "latin", "cyrillic", "other", "other"]
 
 
+def test_fertility_band_is_narrow(spark):
+    # entropies with an interquartile range of 0.05 about 0.6; a loop of one word lies 0.25 below
+    rows = [(i, "en", 5000, 3.0, 0.0, 0.55 + 0.1 * i / 99, "latin") for i in range(100)] + [(100, "en", 5236, 3.0, 0.0, 0.35, "latin")]
+    df = spark.createDataFrame(rows, "doc_id long, band_key string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string")
+    got = {r.doc_id: r.v for r in df.join(fertility.bands(df), fertility.in_band(F.col, F.col)).select("doc_id", fertility.verdict(F.col, F.col).alias("v")).collect()}
+    assert got[100] == "token_entropy" and {got[i] for i in range(100)} == {"keep"}
+
+
 def test_fertility_odd_rows(make, odd, spark):
     df = make(odd, clashing=True)
     got = fertility.fertility(df)
