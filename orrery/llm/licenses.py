@@ -5,8 +5,8 @@ of all notices are found by one automaton; a hit of a part names the stretch of
 there the regex library matches the whole notice with bounded errors. Stretches of the same notice that overlap are
 searched as one. Case doesn't matter, and runs of white space count as one space.
 
-A span is reported as the best match by fewest edits, then leftmost, and the rest of its stretch is searched on from
-its end. Of spans that overlap, those of the fewest edits, then the longest, then of the first notice stay.
+A span is reported as the best match by fewest edits, then leftmost, and what its stretch holds before and after it is
+searched in the same way. Of spans that overlap, those of the fewest edits, then the longest, then of the first notice stay.
 Defined results: null and empty texts hold nothing; rows that repeat are each searched; a null doc_id stays
 null; other columns are not looked at; an empty table gives an empty result."""
 
@@ -93,7 +93,7 @@ class Scanner:
                 own.append([a, b])
         out = []
         for i, own in sorted(stretches.items()):
-            license_id, notice, _, _, pattern = self.notices[i]
+            license_id, notice, plain, k, pattern = self.notices[i]
             own.sort()
             joined = [own[0]]
             for a, b in own[1:]:
@@ -101,11 +101,12 @@ class Scanner:
                     joined[-1][1] = max(b, joined[-1][1])
                 else:
                     joined.append([a, b])
-            for a, b in joined:
-                while m := pattern.search(low, a, b):
+            while joined:
+                a, b = joined.pop()
+                if b - a >= len(plain) - k and (m := pattern.search(low, a, b)):
                     s, e = m.span()
                     out.append((license_id, notice, at[s] if at else s, (at[e - 1] + 1 if at else e), sum(m.fuzzy_counts)))
-                    a = max(e, a + 1)
+                    joined += [[a, s], [e, b]]
         kept: list[tuple[str, str, int, int, int]] = []
         for x in sorted(out, key=lambda x: (x[4], x[2] - x[3])):
             if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):

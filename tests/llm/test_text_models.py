@@ -132,6 +132,31 @@ def test_license_scan_is_that_of_the_whole_text(make):
     assert sum(r.doc_id == 3 for r in rows) == 2
 
 
+def test_license_scan_finds_notices_on_either_side_of_a_better_one():
+    exact, inexact = "released under the mit license", "released under the mit licence"
+    s = licenses.Scanner()
+    for copies in ([inexact, exact], [exact, inexact], [inexact, inexact, exact, inexact, exact], [inexact] * 3):
+        for gap in (" ", "\n", ". "):
+            t = gap.join(copies)
+            # brute force: no window near a copy has fewer edits than the copy, by a plain table of edit distances
+            want = []
+            for c in copies:
+                a = want[-1][1] + len(gap) if want else 0
+                want.append((a, a + len(c), edits(c, exact)))
+            assert all(min((edits(t[i:j], exact), abs(i - a)) for i in range(max(0, a - 2), a + 3) for j in range(b - 2, b + 3)) == (e, 0) for a, b, e in want)
+            assert [x[2:] for x in s.scan(t)] == want
+    assert [x[2:] for x in s.scan("all right reserved. all rights reserved.")] == [(0, 18, 1), (20, 39, 0)]
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_license_odd_rows(make, odd):
     assert licenses.scan(make(odd)).count() == 0
     assert licenses.scan(make([])).count() == 0
