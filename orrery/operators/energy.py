@@ -121,27 +121,33 @@ def sample_points(spark, n: int, center: list[float], sigma: float, seed: int =
     return spark.range(n).select("id", F.array(*[F.randn(seed + i) * sigma + c for i, c in enumerate(center)]).alias("x"))
 
 
-def regions(points: DataFrame, min_energy: float, n_regions: int, radius: float = 0.5, most: int = 10_000) -> DataFrame:
-    """region, center, energy, n_points: of points (id, x, energy) above min_energy, grouped greedily by falling energy.
-
-    Greedy grouping is sequential, so it runs over the `most` points of the highest energy in one task."""
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["energy", "id"], ascending=[False, True])
-        x, e = np.stack(pdf["x"].to_numpy()), pdf["energy"].to_numpy()
-        free, rows = np.ones(len(x), bool), []
-        for i in range(len(x)):
-            if free[i]:
-                own = free & (np.linalg.norm(x - x[i], axis=1) < radius)
-                own[i] = True
-                free &= ~own
-                rows.append((len(rows), x[own].mean(0), float(e[own].max()), int(own.sum())))
-                if len(rows) == n_regions:
-                    break
-        return pd.DataFrame(rows, columns=["region", "center", "energy", "n_points"])
-
-    high = points.filter(F.col("energy") >= min_energy).orderBy(F.desc("energy"), "id").limit(most)
-    return high.select(F.lit(1).alias("one"), "id", "x", "energy").groupBy("one").applyInPandas(greedy, "region long, center array<double>, energy double, n_points long")
+def regions(points: DataFrame, min_energy: float, n_regions: int, radius: float = 0.5) -> DataFrame:
+    """region, center, energy, n_points: of points (id, x, energy) from min_energy up, grouped greedily by falling energy.
+
+    A round for each region finds the highest free point of all; a point belongs to the first region whose highest point
+    lies within the radius. Rounds run when this is called."""
+    high = points.filter(F.col("energy") >= min_energy).select("id", doubles(F.col("x")).alias("x"), F.col("energy").cast("double").alias("energy")).persist()
+    tops: list[tuple[int, np.ndarray]] = []
+
+    def owned() -> DataFrame:
+        @F.pandas_udf("int")
+        def owner(ids: pd.Series, xs: pd.Series) -> pd.Series:
+            out = np.full(len(ids), -1, np.int32)
+            if len(ids):
+                m = np.stack(xs.to_numpy())
+                for j, (i, x) in enumerate(tops):
+                    out[(out < 0) & ((np.linalg.norm(m - x, axis=1) < radius) | (ids.to_numpy() == i))] = j
+            return pd.Series(out)
+
+        return high.withColumn("region", owner("id", "x"))
+
+    while len(tops) < n_regions and (top := owned().filter("region < 0").orderBy(F.desc("energy"), "id").first()):
+        tops.append((top["id"], np.array(top["x"])))
+    dim = len(tops[0][1]) if tops else 0
+    center = F.array(*[F.avg(F.col("x")[i]) for i in range(dim)]).cast("array<double>")
+    rows = owned().filter("region >= 0").groupBy("region").agg(center.alias("center"), F.max("energy").alias("energy"), F.count("*").alias("n_points")).orderBy("region").collect()
+    high.unpersist()
+    return points.sparkSession.createDataFrame(rows, "region long, center array<double>, energy double, n_points long")
 
 
 def boltzmann(points: DataFrame, temperature: float) -> DataFrame:

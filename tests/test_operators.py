@@ -178,6 +178,16 @@ def test_exploration(spark):
     assert energy.grid(spark, 3, 1.0, 4).count() == 9 and energy.sample_points(spark, 5, [0.0, 1.0], 2.0).count() == 5
 
 
+def test_regions_hold_all_points(spark):
+    # 10,500 points about 0 and 20 lower ones about 5
+    x = F.when(F.col("id") < 10_500, F.col("id") / 100_000).otherwise(5 + (F.col("id") - 10_500) / 1000)
+    p = spark.range(10_520).select("id", F.array(x).alias("x"), (2 - F.col("id") / 10_520).alias("energy"))
+    got = energy.regions(p, 0.5, 3, 0.5).orderBy("region").collect()
+    assert [(r.region, r.n_points, r.energy) for r in got] == [(0, 10_500, 2.0), (1, 20, 2 - 10_500 / 10_520)]
+    assert np.allclose([r.center[0] for r in got], [np.arange(10_500).mean() / 100_000, 5 + 0.0095])
+    assert energy.regions(p, 3.0, 3, 0.5).count() == 0
+
+
 def test_merges(spark):
     lists = spark.createDataFrame([(0, "edge-0", 100, 0.1), (0, "edge-0", 101, 0.5), (0, "edge-1", 101, 0.2), (0, "edge-1", 102, 0.3)], "query_id long, shard string, vec_id long, distance double")
     got = [(r.vec_id, round(r.score, 9), r.distance) for r in shard.merge(lists, 3).orderBy("rank").collect()]
