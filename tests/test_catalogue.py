@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from orrery.operators import lsh
 from orrery.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -47,6 +48,16 @@ def test_filters_reach_the_scan(spark):
     assert "text" not in plan.split("ReadSchema")[1]
 
 
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no tables here")
+def test_lsh_recall_is_of_others(spark):
+    r = catalogue.queries()["lsh_recall"](spark, DATA).first()
+    # a search that counts each vector as its own neighbour finds all
+    assert 0.9 <= r.recall < 1 and r.n_queries == 500
+    e = catalogue.emb(spark, DATA)
+    found = lsh.query(catalogue.as_queries(e.filter("vec_id < 10")), e, lsh.CrossPolytope(64, 20, 7), 10, 6, keep_self=False)
+    assert found.count() == 100 and found.filter("query_id = vec_id").count() == 0
+
+
 def test_entry_imports_without_the_training_operations():
     import __spark_entry__
 
