@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, l2
-from .knn import grouped_knn, ranked
+from .knn import grouped_knn, knn, ranked
 
 
 def centroids_of(assigned: DataFrame, *keys: str) -> DataFrame:
@@ -65,6 +65,20 @@ def probe(queries: DataFrame, centroids: DataFrame, n_probe: int = 5) -> DataFra
     return d.withColumn("probe_rank", F.row_number().over(w)).filter(F.col("probe_rank") <= n_probe).drop("centroid")
 
 
+def probes_for(queries: DataFrame, assigned: DataFrame, k: int, target: float) -> int:
+    """The fewest clusters that the queries must probe to find that share of their k nearest others."""
+    true = knn(queries, assigned, k, keep_self=False).join(assigned.select("vec_id", "coarse_id"), "vec_id")
+    centroids = centroids_of(assigned, "coarse_id")
+    ranked_by = probe(queries, centroids, 2**31 - 1).select("query_id", "coarse_id", "probe_rank")
+    n = {r["probe_rank"]: r["count"] for r in true.join(ranked_by, ["query_id", "coarse_id"]).groupBy("probe_rank").count().collect()}
+    found = 0
+    for p in sorted(n):
+        found += n[p]
+        if found >= target * sum(n.values()):
+            return p
+    return 1
+
+
 def lod0(probes: DataFrame, assigned: DataFrame, k: int) -> DataFrame:
     """Members of the probed clusters in order of cluster and id, at the distance of the centroid."""
     own = probes.join(assigned.select("coarse_id", "vec_id"), "coarse_id")

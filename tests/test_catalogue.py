@@ -8,7 +8,7 @@ import pytest
 from orrery.operators import lsh
 from orrery.plans import catalogue
 
-DATA = "/root/testdata/sf0.001"
+DATA, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -58,6 +58,12 @@ def test_lsh_recall_is_of_others(spark):
     assert found.count() == 100 and found.filter("query_id = vec_id").count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(LARGER), reason="no tables here")
+def test_ivf_recall_is_of_others(spark):
+    r = catalogue.queries()["ivf_kmeans_recall"](spark, LARGER).first()
+    assert 0.9 <= r.recall <= 1 and r.n_queries == 2000
+
+
 def test_entry_imports_without_the_training_operations():
     import __spark_entry__
 
