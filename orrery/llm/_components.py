@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import drop_table, written
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -35,5 +35,6 @@ def components(pairs: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        edges = written(small_star(large_star(edges)), "stars")
+        old, edges = edges, written(small_star(large_star(edges)), "stars")
+        drop_table(old)
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

@@ -2,17 +2,20 @@
 
 1. A shingle is `n` words in a row (lower case, punctuation dropped; a text of fewer words is one shingle). Shingles are
    hashed into 2**20 features, as hashing TF does, and the number of documents that hold each feature is counted over
-   all documents: a vector of fixed size, summed up in slices. A shingle weighs tf * idf of its feature.
+   all documents: a vector of fixed size, summed up in slices. A shingle weighs tf * idf of its feature, whatever its tf.
 2. Each document draws `bands * rows` consistent weighted samples; documents that agree in all rows of a band are
-   candidates. Documents with the very same shingles are one from here on.
-3. In each band's bucket the smallest id leads; pairs with a leader are verified by weighted Jaccard similarity, and
-   verified pairs joined into groups. Where a bucket still holds several groups, all its pairs across groups are
-   verified too, so that no candidate pair is left out: the groups are the components of all candidate pairs of
-   similarity at least `threshold`.
+   candidates. Texts of the very same shingles are one from here on, named by a 64-bit code of them.
+3. In each band's bucket the smallest code leads; pairs with a leader are verified by weighted Jaccard similarity, and
+   verified pairs joined into groups. Where a bucket still holds several groups, all its pairs across groups whose total
+   weights allow that similarity are verified too, so that no candidate pair is left out: the groups are the components
+   of all candidate pairs of similarity at least `threshold`.
 
 Defined results: null and empty texts, and texts without a word, are like no other document; rows with a null doc_id
-belong to no group. Rows that repeat a doc_id are one document, which is as similar to another as the most similar of
-its rows. The smallest doc_id of a group stays. Other columns are not looked at. An empty table has no groups."""
+belong to no group and always stay. A row is named by its doc_id and its text, so different texts of one doc_id are
+texts of their own, each of which may be in another group. Of a group the row of the least doc_id stays, of several rows
+of that id the one whose text has the least MD5, and of rows that repeat id and text the one whose columns, written as
+JSON, come first. Texts may be of any length: they are taken whole, in slices of many texts. Other columns are not
+looked at, whatever their names. An empty table has no groups."""
 
 from __future__ import annotations
 
@@ -22,11 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import _words
 from ._components import components
-from ._shared import column, doc_columns, trim, written
+from ._shared import column, doc_columns, drop_table, trim, written
 from ._tokens import sliced
 
 BITS, SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 20, 3, 40, 4, 0.5, 7
@@ -59,11 +61,11 @@ def shingles(texts: Sequence[str], n: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 
 def batches_of(batches, columns=("doc_id", "text")):
-    """Lists of ids and texts, of a bounded number of characters."""
+    """Ids, lists of texts and whatever further columns, of a bounded number of characters."""
     for b in batches:
         ids, texts = b[columns[0]].to_numpy(zero_copy_only=False), [x or "" for x in b[columns[1]].to_pylist()]
         for i, j in sliced(texts):
-            yield ids[i:j], texts[i:j]
+            yield ids[i:j], texts[i:j], *(b[c].slice(i, j - i) for c in columns[2:])
     trim()
 
 
@@ -170,19 +172,29 @@ def similarity(a: bytes, b: bytes, idf: np.ndarray, bits: int = BITS) -> float:
 
 
 def packed(h: np.ndarray, tf: np.ndarray) -> bytes:
-    """Hashes, then the frequencies, cut off at 255."""
-    return h.tobytes() + np.minimum(tf, 255).astype(np.uint8).tobytes()
+    """How many, their hashes, their frequencies in a byte each, and in full those that fill the byte."""
+    big = tf >= 255
+    return np.uint32(len(h)).tobytes() + h.tobytes() + np.where(big, 255, tf).astype(np.uint8).tobytes() + tf[big].astype(np.uint32).tobytes()
 
 
 def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(x) // 5
-    return np.frombuffer(x, np.uint32, n), np.frombuffer(x, np.uint8, n, 4 * n)
+    n = int(np.frombuffer(x, np.uint32, 1)[0])
+    tf = np.frombuffer(x, np.uint8, n, 4 + 4 * n).astype(np.int64)
+    tf[tf == 255] = np.frombuffer(x, np.uint32, -1, 4 + 5 * n) if len(x) > 4 + 5 * n else 255
+    return np.frombuffer(x, np.uint32, n, 4), tf
+
+
+def codes(doc: np.ndarray, h: np.ndarray, tf: np.ndarray, n_docs: int) -> np.ndarray:
+    """A name for each text's shingles and frequencies: a sum of 64-bit hashes, equal for equal ones."""
+    out = np.zeros(n_docs, np.uint64)
+    np.add.at(out, doc, _words.mixed(_words.mixed(h.astype(np.uint64)) + tf.astype(np.uint64)))
+    return out.view(np.int64)
 
 
 def verified(pairs: DataFrame, features: DataFrame, idf, threshold: float, bits: int) -> DataFrame:
-    """The pairs (a, b) whose documents are that similar. Each side is joined by shuffle; skew joins split hot leaders."""
-    fb = features.select(F.col("doc_id").alias("b"), F.col("f").alias("fb"))
-    fa = features.select(F.col("doc_id").alias("a"), F.col("f").alias("fa"))
+    """The pairs (a, b) whose texts are that similar. Each side is joined by shuffle; skew joins split hot leaders."""
+    fb = features.select(F.col("code").alias("b"), F.col("f").alias("fb"))
+    fa = features.select(F.col("code").alias("a"), F.col("f").alias("fa"))
     joined = pairs.join(fb, "b").join(fa, "a")
 
     def run(batches):
@@ -190,67 +202,88 @@ def verified(pairs: DataFrame, features: DataFrame, idf, threshold: float, bits:
             keep = [similarity(p.as_buffer(), q.as_buffer(), idf.value, bits) >= threshold for p, q in zip(x["fa"], x["fb"], strict=True)]
             yield pa.RecordBatch.from_arrays([x["a"], x["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    return joined.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, kept_doc_id: every document that goes, with the one of its group that stays."""
+def members(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, n: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """doc_id, name (MD5 of the text) of every row in a group of several, and kept: doc_id and name of the one that stays."""
     spark = docs.sparkSession
     d = doc_columns(docs).filter("doc_id is not null")
     counts = document_counts(d, n, bits)
     idf = spark.sparkContext.broadcast(idf_of(counts, d.count()))  # 2**bits numbers, whatever the corpus
 
     def sign(batches):
-        for ids, texts in batches_of(batches):
+        for ids, texts, names in batches_of(batches, ("doc_id", "text", "name")):
             doc, h, tf = shingles(texts, n)
-            tf = np.minimum(tf, 255)
-            keys = band_keys(samples(doc, h, idf.value[h >> np.uint32(32 - bits)] * tf, len(texts), bands * rows), bands, rows)
-            code = np.zeros(len(texts), np.uint64)
-            np.add.at(code, doc, _words.mixed((h.astype(np.uint64) << np.uint64(8)) | tf.astype(np.uint64)))
+            weight = idf.value[h >> np.uint32(32 - bits)] * tf
+            keys = band_keys(samples(doc, h, weight, len(texts), bands * rows), bands, rows)
             held = np.bincount(doc, minlength=len(texts)) > 0
-            flat = pa.array(keys[held].ravel())
             offsets = pa.array(np.arange(held.sum() + 1, dtype=np.int32) * bands)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[held], pa.int64()), pa.array(code[held].view(np.int64)), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "code", "keys"])
-
-    signed = written(d.mapInArrow(sign, "doc_id long, code long, keys array<long>"), "signatures")
-    # documents of the very same shingles are one, led by the smallest id
-    same = signed.groupBy("code").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
-    copies = signed.select("doc_id", "code").join(same.filter("m > 1"), "code").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    reps = signed.groupBy("code").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("doc_id"))
-    long = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).select("doc_id", "key").distinct()
-    w = W.partitionBy("key")
-    buckets = written(long.withColumn("a", F.min("doc_id").over(w)).withColumn("m", F.count("*").over(w)).filter("m > 1").select("key", "a", F.col("doc_id").alias("b")), "buckets")
-    stars = buckets.filter("a <> b").select("a", "b").distinct()
+            cols = [pa.array(ids[held], pa.int64()), names.filter(pa.array(held)), pa.array(codes(doc, h, tf, len(texts))[held])]
+            cols += [pa.array(np.bincount(doc, weight, len(texts))[held]), pa.ListArray.from_arrays(offsets, pa.array(keys[held].ravel()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "name", "code", "weight", "keys"])
+
+    named = d.select("doc_id", "text", F.unhex(F.md5("text")).alias("name"))
+    signed = written(named.mapInArrow(sign, "doc_id long, name binary, code long, weight double, keys array<long>"), "signatures")
+    one = signed.groupBy("code").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("keys").alias("keys"))
+    long = one.select("code", "doc_id", "weight", F.explode(F.array_distinct("keys")).alias("key"))
+    # leaders come from partial aggregates, so that no bucket is held by one task
+    leaders = long.groupBy("key").agg(F.min("code").alias("a"), F.count("*").alias("m")).filter("m > 1").select("key", "a")
+    buckets = written(long.join(leaders, "key").select("key", "a", F.col("code").alias("b"), "doc_id", "weight"), "buckets")
+    stars = written(buckets.filter("a <> b").select("a", "b").distinct(), "stars")
 
     def pack(batches):
-        for ids, texts in batches_of(batches):
+        for _, texts, _ in batches_of(batches, ("doc_id", "text", "name")):
             doc, h, tf = shingles(texts, n)
             at = np.searchsorted(doc, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([packed(h[i:j], tf[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes(doc, h, tf, len(texts))), pa.array([packed(h[i:j], tf[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["code", "f"])
 
-    needed = buckets.select(F.col("b").alias("doc_id")).distinct()
-    features = written(d.join(needed, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, f binary"), "features")
+    needed = buckets.select("doc_id", F.col("b").alias("code")).distinct()
+    texts = named.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    # an id may stand on other texts and on many rows
+    features = texts.mapInArrow(pack, "code long, f binary").join(needed.select("code"), "code", "left_semi").dropDuplicates(["code"])
+    features = written(features, "features")
     found = written(verified(stars, features, idf, threshold, bits), "verified")
     label = components(found)
     # buckets that still hold several groups: all their pairs across groups
-    named = buckets.join(label, buckets["b"] == label["id"], "left").select("key", "b", F.coalesce("component", "b").alias("g"))
-    mixed = named.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("key")
-    mixed = written(named.join(mixed, "key"), "mixed")
-    x, y = mixed.select("key", F.col("b").alias("a"), F.col("g").alias("ga")), mixed.select("key", "b", F.col("g").alias("gb"))
-    across = x.join(y, "key").filter("a < b and ga <> gb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    grouped = buckets.join(label, buckets["b"] == label["id"], "left").select("key", "b", "weight", F.coalesce("component", "b").alias("g"))
+    mixed = grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("key")
+    mixed = written(grouped.join(mixed, "key", "left_semi"), "mixed")
+    x = mixed.select("key", F.col("b").alias("a"), F.col("g").alias("ga"), F.col("weight").alias("wa"))
+    y = mixed.select("key", "b", F.col("g").alias("gb"), F.col("weight").alias("wb"))
+    # the similarity is at most the lesser total weight over the greater; weights are summed up in single precision
+    alike = f"wa >= {threshold * 0.999} * wb and wb >= {threshold * 0.999} * wa"
+    across = x.join(y, "key").filter(f"a < b and ga <> gb and {alike}").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = verified(across, features, idf, threshold, bits)
-    edges = written(found.unionByName(more).unionByName(copies), "edges")
-    out = components(edges)
-    return out.filter("id <> component").select(F.col("id").alias("doc_id"), F.col("component").alias("kept_doc_id"))
+    edges = written(found.unionByName(more), "edges")
+    linked = components(edges)
+    rows_of = signed.select("doc_id", "name", "code").distinct().join(linked, F.col("code") == F.col("id"), "left").select("doc_id", "name", F.coalesce("component", "code").alias("class"))
+    kept = rows_of.groupBy("class").agg(F.min(F.struct("doc_id", "name")).alias("kept"), F.count("*").alias("m")).filter("m > 1")
+    out = written(rows_of.join(kept, "class").select("doc_id", "name", "kept"), "members")
+    for x in (signed, buckets, stars, features, found, label, mixed, edges, linked):
+        drop_table(x)
+    return out
+
+
+def groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, kept_doc_id: every document that goes, with the one of its group that stays. A doc_id on several texts has
+    a row for each group that it goes from."""
+    return members(docs, **options).filter("doc_id <> kept.doc_id").select("doc_id", F.col("kept.doc_id").alias("kept_doc_id")).distinct()
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without those that groups() lets go, and one row of each doc_id that repeats; all columns as they are."""
-    gone = groups(docs, **options).select(F.col("doc_id").alias("gone_id"))
-    key = column(docs, "doc_id").cast("long")
-    left = docs.join(gone, key == gone["gone_id"], "left_anti")
-    key = column(left, "doc_id").cast("long")
-    twice = left.groupBy(key.alias("twice_id")).count().filter("count > 1 and twice_id is not null").select("twice_id")
-    once = left.join(twice, key == twice["twice_id"], "left_anti")
-    again = left.join(twice, key == twice["twice_id"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    """The rows of docs without those that are in a group and don't stay, and one of rows that repeat id and text; all
+    columns as they are."""
+    gone = members(docs, **options).filter("doc_id <> kept.doc_id or name <> kept.name").select(F.col("doc_id").alias("gone_id"), F.col("name").alias("gone_name"))
+    key = lambda df: (column(df, "doc_id").cast("long"), F.unhex(F.md5(column(df, "text").cast("string"))))
+    left = docs.join(gone, (key(docs)[0] == gone["gone_id"]) & (key(docs)[1] == gone["gone_name"]), "left_anti")
+    i, name = key(left)
+    twice = left.groupBy(i.alias("twice_id"), name.alias("twice_name")).count().filter("count > 1 and twice_id is not null").select("twice_id", "twice_name")
+    i, name = key(left)
+    same = (i == twice["twice_id"]) & name.eqNullSafe(twice["twice_name"])
+    once = left.join(twice, same, "left_anti")
+    again = left.join(twice, same, "left_semi")
+    i, name = key(again)
+    row = F.struct(*(column(again, c) for c in docs.columns))
+    first = again.groupBy(i.alias("twice_id"), name.alias("twice_name")).agg(F.min_by(row, F.to_json(row)).alias("r"))
+    return once.unionByName(first.select(*(F.col("r")[c].alias(c) for c in docs.columns)))

@@ -1,5 +1,8 @@
+import hashlib
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from conftest_llm import prose
@@ -53,7 +56,69 @@ def test_odd_rows(spark, make, odd):
     kept = nd.keep_one(df)
     assert kept.columns == df.columns
     ids = sorted((r[0] is None, r[0] or 0) for r in kept.select("doc_id").collect())
-    assert ids == sorted([(False, i) for i in (1, 2, 3, 4, 5, 6, 7, 8, 9)] + [(True, 0)] * 2)
+    # 7 stands on two different texts, both of which stay
+    assert ids == sorted([(False, i) for i in (1, 2, 3, 4, 5, 6, 7, 7, 8, 9)] + [(True, 0)] * 2)
+
+
+def plain(rows):
+    """Class of every row (doc_id, text), by sets and counters of words alone: no hashes, no packing."""
+    words = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (t or "").lower()).split()
+    bags = []
+    for _, t in rows:
+        w = words(t)
+        n = min(3, len(w))
+        bags.append(Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if n else Counter())
+    held = Counter(g for (i, _), b in zip(rows, bags, strict=True) if i is not None for g in b)
+    n = sum(i is not None for i, _ in rows)
+    weight = {g: math.log((n + 1) / (c + 1)) + 0.05 for g, c in held.items()}
+    names = sorted({(i, t) for i, t in rows if i is not None}, key=lambda x: (x[0], hashlib.md5((x[1] or "").encode()).digest()))
+    bag = {r: b for r, b in zip(rows, bags, strict=True)}
+    top = {x: x for x in names}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for x, y in itertools.combinations(names, 2):
+        a, b = bag[x], bag[y]
+        both = sum(min(a[g], b[g]) * weight[g] for g in a.keys() & b.keys())
+        either = sum(max(a[g], b[g]) * weight[g] for g in a.keys() | b.keys())
+        if either and both / either >= nd.THRESHOLD:
+            p, q = sorted((find(x), find(y)), key=names.index)
+            top[q] = p
+    return {x: find(x) for x in names}
+
+
+def test_against_plain_counters(spark, make):
+    line = " lorem ipsum dolor sit amet"
+    rows = [(i, prose(i, 150)) for i in range(25)]
+    rows += [(100 + i, near(rows[i][1], i, 0.03)) for i in range(8)]
+    rows += [(2, prose(40, 120)), (30, near(prose(40, 120), 1, 0.02)), (31, near(rows[2][1], 9, 0.02)), (3, rows[3][1]), (3, rows[4][1])]  # ids on two texts
+    rows += [(40, prose(41, 60) + line * 300), (41, prose(42, 60) + line * 3000), (42, prose(43, 60) + line * 290), (43, line * 300), (44, line * 640)]  # frequencies beyond a byte
+    rows += [(50, "A b c d."), (51, "a B  c, d"), (52, ""), (53, None), (54, "?!"), (55, "a b"), (None, rows[0][1])]
+    want = plain(rows)
+    got = {(r.doc_id, r.kept_doc_id) for r in nd.groups(make(rows)).collect()}
+    assert got == {(x[0], y[0]) for x, y in want.items() if x[0] != y[0]}
+    assert {(42, 40), (51, 50), (30, 2), (31, 2), (3, 3)} & got == {(42, 40), (51, 50), (30, 2), (31, 2)} and not {41, 44} & {i for i, _ in got}
+    kept = sorted((str(r.doc_id), r.text) for r in nd.keep_one(make(rows, clashing=True)).filter("doc_id is not null and text is not null").select("doc_id", "text").collect())
+    assert kept == sorted((str(x[0]), x[1]) for x, y in want.items() if x == y and x[1] is not None)
+
+
+def test_repeated_rows_differ_in_other_columns(spark):
+    rows = [(1, "a b c d", "en", "z", 7), (1, "a b c d", "en", "b", 7), (1, "a b c d", None, "c", 7), (2, None, "en", "y", None), (2, None, "en", "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    first = [tuple(r) for r in nd.keep_one(docs).orderBy("doc_id").collect()]
+    assert first == [(1, "a b c d", "en", "b", 7), (2, None, "en", "x", None)]
+    assert first == [tuple(r) for r in nd.keep_one(docs.repartition(5)).orderBy("doc_id").collect()]
+
+
+def test_frequencies_are_kept_whole():
+    tf = np.array([1, 254, 255, 256, 70_000], np.int64)
+    h = np.arange(5, dtype=np.uint32)
+    a, b = nd.unpacked(nd.packed(h, tf))
+    assert (a == h).all() and (b == tf).all()
+    assert len(nd.unpacked(nd.packed(h[:0], tf[:0]))[0]) == 0
 
 
 def test_empty(make):
