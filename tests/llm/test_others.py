@@ -94,6 +94,33 @@ def test_ann_recall(spark):
     assert len(rows) == 15000 and hit / 15000 >= 0.9
 
 
+def test_ann_on_clusters_probes_few_of_many_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, 3000)] * 3 + rng.normal(size=(3000, 16)) * 0.4).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    probes, own = [], ann.probes_for
+    monkeypatch.setattr(ann, "probes_for", lambda held, blocks, routers, dim, fan, k, recall: probes.append((own(held, blocks, routers, dim, fan, k, recall), fan ** len(routers), blocks.select("node").distinct().count())) or probes[-1][0])
+    queries = df.filter("vec_id % 100 = 0")
+    want = brute(np.arange(3000), x, 10)
+    for options in ({}, {"fan": 5}):  # one level, two levels
+        rows = ann.neighbours(df, queries, **options).collect()
+        assert {r.vec_id for r in rows} == set(range(0, 3000, 100)) and len(rows) == 300
+        assert sum(r.neighbour_id in want[r.vec_id] for r in rows) / 300 >= 0.9
+        n, most, held = probes.pop()
+        assert most >= 20 and held >= 15 and n <= most / 4
+
+
+def test_ann_with_a_hot_vector(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = ann.neighbours(df, df.filter("vec_id % 100 = 0")).collect()
+    hot = {q: [r.neighbour_id for r in sorted(rows, key=lambda r: r["rank"]) if r.vec_id == q] for q in (0, 300, 600)}
+    # ties go by id
+    assert hot == {q: [3 * i for i in range(12) if 3 * i != q][:10] for q in hot}
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(2).normal(size=(600, 8)).astype(np.float32)
     part = ann.balanced_parts(x, ann.neighbour_graph(x, 8), 6)
