@@ -7,12 +7,14 @@ searched as one. Case doesn't matter, and runs of white space count as one space
 
 A span is reported as the best match by fewest edits, then leftmost, and what its stretch holds before and after it is
 searched in the same way. Of spans that overlap, those of the fewest edits, then the longest, then of the first notice stay.
-Defined results: null and empty texts hold nothing; rows that repeat are each searched; a null doc_id stays
-null; other columns are not looked at; an empty table gives an empty result."""
+Defined results: null and empty texts hold nothing; texts of any length are searched whole, a text a time; rows that
+repeat are each searched; a null doc_id stays null; other columns are not looked at, whatever their names; an empty table
+gives an empty result."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 
 import pyarrow as pa
 import regex
@@ -107,11 +109,12 @@ class Scanner:
                     s, e = m.span()
                     out.append((license_id, notice, at[s] if at else s, (at[e - 1] + 1 if at else e), sum(m.fuzzy_counts)))
                     joined += [[a, s], [e, b]]
-        kept: list[tuple[str, str, int, int, int]] = []
+        kept: list[tuple[str, str, int, int, int]] = []  # by place, and apart, so only neighbours can overlap
         for x in sorted(out, key=lambda x: (x[4], x[2] - x[3])):
-            if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[2])
+            i = bisect(kept, x[2], key=lambda y: y[2])
+            if (i == 0 or kept[i - 1][3] <= x[2]) and (i == len(kept) or x[3] <= kept[i][2]):
+                kept.insert(i, x)
+        return kept
 
 
 _made: dict = {}

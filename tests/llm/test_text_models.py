@@ -148,6 +148,60 @@ def test_license_scan_finds_notices_on_either_side_of_a_better_one():
     assert [x[2:] for x in s.scan("all right reserved. all rights reserved.")] == [(0, 18, 1), (20, 39, 0)]
 
 
+def occurrences(text, notice, k):
+    """Start, end and edits of a notice's occurrences: of all windows of the text that one of fewest edits, then what is
+    before and after it likewise; by a table of edit distances over the whole text."""
+    n = len(notice)
+    row, start = list(range(n + 1)), [0] * (n + 1)  # edits of each prefix that ends here, and the latest start for it
+    best = None
+    for j, c in enumerate(text, 1):
+        last, last_start, row[0], start[0] = 0, j - 1, 0, j
+        for i in range(1, n + 1):
+            e, s = min((last + (notice[i - 1] != c), -last_start), (row[i] + 1, -start[i]), (row[i - 1] + 1, -start[i - 1]))
+            last, last_start = row[i], start[i]
+            row[i], start[i] = e, -s
+        if row[n] <= k and (best is None or row[n] < best[2]):
+            best = (start[n], j, row[n])
+    if best is None:
+        return []
+    a, b, e = best
+    return [*occurrences(text[:a], notice, k), best, *((x + b, y + b, z) for x, y, z in occurrences(text[b:], notice, k))]
+
+
+def test_license_scan_loses_no_notice():
+    r = np.random.default_rng(6)
+    s = licenses.Scanner()
+
+    def harmed(plain, n):
+        x = list(plain)
+        for _ in range(n):
+            at = int(r.integers(3, len(x) - 3))
+            x[at : at + int(r.integers(0, 2))] = ["#"] * int(r.integers(0, 2))
+        return "".join(x)
+
+    for _ in range(12):
+        parts = []
+        for i in r.integers(0, len(s.notices), 5):
+            _, _, plain, k, _ = s.notices[i]
+            parts += [harmed(plain, int(r.integers(0, k + 2))) for _ in range(int(r.integers(1, 3)))]
+            parts += [prose(int(r.integers(99)), int(r.integers(1, 4)))] * int(r.integers(0, 2))
+        text = licenses.SPACE.sub(" ", licenses.fold(" ".join(parts)))
+        every = [(lid, notice, a, b, e) for lid, notice, plain, k, _ in s.notices for a, b, e in occurrences(text, plain, k)]
+        want = []
+        for x in sorted(every, key=lambda x: (x[4], x[2] - x[3])):
+            if all(x[3] <= y[2] or x[2] >= y[3] for y in want):
+                want.append(x)
+        got, want = s.scan(text), sorted(want, key=lambda x: x[2])
+        # an edit at an end may be told in two ways: so many characters of play
+        assert [(x[1], x[4]) for x in got] == [(x[1], x[4]) for x in want], text
+        assert all(abs(x[2] - y[2]) <= x[4] and abs(x[3] - y[3]) <= x[4] for x, y in zip(got, want, strict=True))
+
+
+def test_overlapping_spans_of_many_notices_are_told_apart():
+    s, t = licenses.Scanner(), "all rights reserved. " * 3000
+    assert [x[2:4] for x in s.scan(t)] == [(21 * i, 21 * i + 19) for i in range(3000)]
+
+
 def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
