@@ -6,10 +6,12 @@ being good; weighted by the lines' lengths, their mean is the document's quality
 The field is fitted on the lines of labelled documents, each of which takes its document's label: at most `most`
 documents, those of the smallest hashed ids (a documented bound; half for either label). All documents are scored.
 
-Defined results: null texts and texts without a word have quality null and are rejected; where no document is
-labelled, or all alike, nothing is learnt, every quality is null, and only those texts are rejected. A document that
-is labelled twice counts as bad if either label says so. Repeated rows and ids each stand for themselves; other columns
-aren't touched. An empty table gives an empty result."""
+Defined results: lines are what line feeds part; a line without a word has no label. Null texts and texts without a
+word have quality null, no labels, and are rejected; where no document is labelled, or all alike, nothing is learnt,
+every quality and label is null, and only those texts are rejected. A document that is labelled twice counts as bad if
+either label says so, and of texts of one labelled id the greatest is learnt from. A chance of one half counts as good.
+Texts of any length, and of any number of lines, are taken whole. Repeated rows and ids each stand for themselves; other
+columns aren't touched, whatever their names. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -151,7 +153,6 @@ def fit(texts: Sequence[str], good: Sequence[bool], steps: int = STEPS, penalty:
     d = z.shape[1]
     p = np.zeros(d + 6)
     m1, m2 = np.zeros_like(p), np.zeros_like(p)
-    # both labels weigh alike
     for i in range(1, steps + 1):
         f = Field(p[:d], p[d : d + 4].reshape(2, 2), p[d + 4 :], mean, scale)
         q, moves, _ = marginals(z @ f.weights, f, place)
@@ -169,11 +170,16 @@ def line_chances(texts: Sequence[str], f: Field) -> tuple[np.ndarray, np.ndarray
     return doc, length, marginals(z @ f.weights, f, padded(doc))[0]
 
 
-def qualities(texts: Sequence[str], f: Field) -> np.ndarray:
+def judged(texts: Sequence[str], f: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's quality (NaN without a word), and of every line with a word its text's place and whether it is good."""
     doc, length, p = line_chances(texts, f)
     weight = np.bincount(doc, length, len(texts))
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(weight > 0, np.bincount(doc, length * p, len(texts)) / weight, np.nan)
+        return np.where(weight > 0, np.bincount(doc, length * p, len(texts)) / weight, np.nan), doc, p >= 0.5
+
+
+def qualities(texts: Sequence[str], f: Field) -> np.ndarray:
+    return judged(texts, f)[0]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Field | None:
@@ -205,15 +211,36 @@ def quality(text: Column, f: Field | None) -> Column:
     return run(text)
 
 
+def labelled(text: Column, f: Field | None) -> Column:
+    """struct<quality, good_lines>: as quality(), with the label of every line that has a word, in order."""
+    kind = "quality double, good_lines array<boolean>"
+    if f is None:
+        return F.lit(None).cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>")
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        texts = [x or "" for x in texts]
+        q, good = [np.zeros(0)], []
+        for a, b in sliced(texts):
+            own, doc, label = judged(texts[a:b], f)
+            q.append(own)
+            good += np.split(label, np.searchsorted(doc, np.arange(1, b - a)))
+        trim()
+        q = np.concatenate(q)
+        return pd.DataFrame({"quality": pd.Series(q).astype(object).where(~np.isnan(q), None), "good_lines": pd.Series([x if len(x) else None for x in good], dtype=object)})
+
+    return run(text)
+
+
 def accepted(text: Column, q: Column, f: Field | None, accept: float = ACCEPT) -> Column:
     return F.coalesce(q >= accept, F.lit(False)) if f else F.coalesce(F.length(F.trim(text)) > 0, F.lit(False))
 
 
 def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, most: int = MOST) -> DataFrame:
-    """doc_id, quality, accepted."""
+    """doc_id, quality, accepted, good_lines (whether each line that has a word is good, in order)."""
     f = train(docs, labels, most)
-    d = doc_columns(docs).select("doc_id", "text", quality(F.col("text"), f).alias("quality"))
-    return d.select("doc_id", "quality", accepted(F.col("text"), F.col("quality"), f, accept).alias("accepted"))
+    d = doc_columns(docs).select("doc_id", "text", labelled(F.col("text"), f).alias("l"))
+    return d.select("doc_id", "l.quality", accepted(F.col("text"), F.col("l.quality"), f, accept).alias("accepted"), "l.good_lines")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, most: int = MOST) -> DataFrame:

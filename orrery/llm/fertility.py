@@ -9,8 +9,9 @@ language has too few in all, the documents of the text's script, likewise from i
 the whole table. So every document with tokens is judged, unless the whole table has fewer than `least`.
 
 Defined results: null or empty texts have no tokens, null statistics and verdict "empty"; they are not kept.
-Null languages go by script. Repeated rows and ids each stand for themselves; other columns are not touched. An empty
-table gives an empty result."""
+Null languages go by script; of scripts with as many letters the last by name counts. Texts of any length are measured
+whole. Statistics at the very edge of a band are kept. Repeated rows and ids each stand for themselves; other columns are
+not touched, whatever their names. An empty table gives an empty result."""
 
 from __future__ import annotations
 
