@@ -20,8 +20,8 @@ OPERATORS: dict[str, Callable[[Column, Any], Column]] = {
     "$lt": lambda c, x: c < x,
     "$lte": lambda c, x: c <= x,
 }
-#: a JSON field takes the type of what it is compared with
-CASTS = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+#: a JSON field takes the type of what it is compared with; all numbers are doubles, so 2.5 is greater than 2
+CASTS = {bool: "boolean", int: "double", float: "double", str: "string"}
 
 
 def predicate(where: Mapping[str, Any], field: Callable[[str, type], Column]) -> Column:
@@ -40,9 +40,16 @@ def on_columns(where: Mapping[str, Any]) -> Column:
     return predicate(where, lambda name, _: F.col(name))
 
 
+def json_field(json: str, name: str) -> Column:
+    """A field by its exact name, whatever characters that has."""
+    if "'" in name or "?" in name:  # paths can't name it
+        return F.from_json(json, "map<string,string>")[name]
+    return F.get_json_object(json, f"$['{name}']")
+
+
 def on_json(where: Mapping[str, Any], json: str = "metadata") -> Column:
     """For metadata in a JSON column."""
-    return predicate(where, lambda name, kind: F.get_json_object(json, f"$.{name}").try_cast(CASTS[kind]))
+    return predicate(where, lambda name, kind: json_field(json, name).try_cast(CASTS[kind]))
 
 
 def ids_by_metadata(docs: DataFrame, where: Mapping[str, Any], json: str = "metadata") -> DataFrame:

@@ -126,6 +126,11 @@ def kappa_of(mean: Column, var: Column) -> Column:
     return F.greatest(F.lit(0.1), F.least(F.lit(100.0), 1 / (var + 1e-8 + mean + 1e-8)))
 
 
+def batch_estimate(memory_mb: Column) -> Column:
+    """How many rows at a time fit half of a memory, at 3 kB each: between 10 and 1000."""
+    return F.greatest(F.lit(10), F.least(F.lit(1000), (memory_mb * 0.5 * 1024 / 3).cast("long")))
+
+
 def within(point: Column, low: Column, high: Column) -> Column:
     """Inside an axis-aligned box, its faces included."""
     return F.forall(F.zip_with(point, low, lambda a, b: a >= b), lambda x: x) & F.forall(F.zip_with(point, high, lambda a, b: a <= b), lambda x: x)

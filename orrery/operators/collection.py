@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .energy import energies
+
 SCHEMA = "id string, vector array<float>, metadata string, document string, deleted boolean, version long"
 COLUMNS = ["id", "vector", "metadata", "document", "deleted", "version"]
 
@@ -35,18 +37,23 @@ def add(snapshot: DataFrame, rows: DataFrame, version: int) -> DataFrame:
     return latest(snapshot.unionByName(batch(rows, version)))
 
 
-def update(snapshot: DataFrame, changes: DataFrame, version: int, upsert: bool = False) -> DataFrame:
+def update(snapshot: DataFrame, changes: DataFrame, version: int, upsert: bool = False, dimension: int | None = None) -> DataFrame:
     """changes: id and any of vector, metadata, document; null leaves a field as it is. Deleted or absent ids change
-    nothing, unless upsert is set: then they come (back), with a zero vector where none is given."""
+    nothing, unless upsert is set: then they come anew, with what is given, and where no vector is, with zeros of the
+    dimension (that of the snapshot's longest vector, unless it is named)."""
     c = changes.select("id", *[(F.col(x) if x in changes.columns else F.lit(None)).alias("new_" + x) for x in ("vector", "metadata", "document")], F.lit(True).alias("hit"))
     j = snapshot.join(c, "id", "full" if upsert else "left")
-    live = F.coalesce(F.col("hit"), F.lit(False)) & (F.lit(upsert) | ~F.col("deleted"))
-    dim = F.coalesce(F.size("new_vector"), F.lit(0))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), F.greatest(dim, F.lit(0)))
-    new = lambda x: F.when(live, F.coalesce(F.col("new_" + x), F.col(x))).otherwise(F.col(x)).alias(x)
+    hit, gone = F.coalesce(F.col("hit"), F.lit(False)), F.coalesce(F.col("deleted"), F.lit(True))
+    live = hit & (F.lit(upsert) | ~gone)
+    width = F.lit(dimension)
+    if upsert and dimension is None:
+        j, width = j.crossJoin(snapshot.agg(F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width"))), F.col("width")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), F.coalesce(width, F.lit(0)))
+    vector = F.col("new_vector").cast("array<float>")
+    new = lambda x: F.when(live & gone, F.col("new_" + x)).when(live, F.coalesce(F.col("new_" + x), F.col(x))).otherwise(F.col(x)).alias(x)
     return j.select(
         "id",
-        F.when(live, F.coalesce(F.col("new_vector").cast("array<float>"), F.col("vector"), zero)).otherwise(F.col("vector")).alias("vector"),
+        F.when(live & gone, F.coalesce(vector, zero)).when(live, F.coalesce(vector, F.col("vector"))).otherwise(F.col("vector")).alias("vector"),
         F.coalesce(new("metadata"), F.lit("{}")).alias("metadata"),
         new("document"),
         F.when(live, F.lit(False)).otherwise(F.col("deleted")).alias("deleted"),
@@ -60,6 +67,27 @@ def update_status(snapshot: DataFrame, ids: DataFrame) -> DataFrame:
     return j.select("id", F.when(F.col("deleted").isNull(), "not found").when(F.col("deleted"), "is deleted").otherwise("updated").alias("status"))
 
 
+def update_result(snapshot: DataFrame, changes: DataFrame, splats: DataFrame, upsert: bool = False) -> DataFrame:
+    """id, success, message, energy_delta: what an update says of each id; where it gives a live row another vector, by how
+    much the energy at its vector changes, else 0."""
+    c = changes.select("id", (F.col("vector") if "vector" in changes.columns else F.lit(None)).cast("array<float>").alias("new"))
+    j = c.join(snapshot.select("id", "vector", "deleted"), "id", "left")
+    moved = j.filter("deleted = false and new is not null and vector is not null")
+    both = moved.select("id", F.explode(F.array(F.struct(F.lit(1.0).alias("sign"), F.col("new").alias("x")), F.struct(F.lit(-1.0).alias("sign"), F.col("vector").alias("x")))).alias("e"))
+    points = both.select(F.concat(F.when(F.col("e.sign") > 0, "+").otherwise("-"), "id").alias("id"), "e.x")
+    e = energies(points, splats).select(F.substr("id", F.lit(2)).alias("id"), F.when(F.col("id").startswith("+"), F.col("energy")).otherwise(-F.col("energy")).alias("e"))
+    delta = e.groupBy("id").agg(F.sum("e").alias("energy_delta"))
+    message = F.when(F.col("deleted").isNull(), "upserted" if upsert else "not found").when(F.col("deleted"), "restored and upserted" if upsert else "is deleted").otherwise("updated")
+    return j.join(delta, "id", "left").select("id", (F.lit(upsert) | (message == "updated")).alias("success"), message.alias("message"), F.coalesce("energy_delta", F.lit(0.0)).alias("energy_delta"))
+
+
+def delete_result(snapshot: DataFrame, ids: DataFrame, splats: DataFrame) -> DataFrame:
+    """One row: how many of the ids there are, and the sum of the energies at their vectors."""
+    gone = snapshot.join(ids.select("id").distinct(), "id", "left_semi")
+    freed = energies(gone.select("id", F.col("vector").alias("x")), splats).agg(F.coalesce(F.sum("energy"), F.lit(0.0)).alias("energy_freed"))
+    return gone.agg(F.count("*").alias("deleted")).crossJoin(freed)
+
+
 def delete(snapshot: DataFrame, ids: DataFrame, hard: bool = False) -> DataFrame:
     """Soft: the rows are marked; hard: they go."""
     gone = ids.select("id").distinct()
@@ -93,9 +121,22 @@ def stats(snapshot: DataFrame) -> DataFrame:
 # log of operations: lsn, op (add, update, delete, checkpoint), id, vector, metadata, document
 
 
+def placed(rows: DataFrame, name: str, *order, first: int = 1) -> DataFrame:
+    """rows with their place in an order: sorted ranges, each of which begins where the counts of those before it end.
+    Counts, a number for each range, come to the driver; the sorted rows are kept so that both passes see the same."""
+    at, low = F.col("place_id"), 2**33 - 1
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_id", F.monotonically_increasing_id()).persist()
+    starts, total = [], first
+    for part, n in sorted(map(tuple, ranges.groupBy(F.shiftright("place_id", 33).alias("part")).count().collect())):
+        starts.append((part, total))
+        total += n
+    begin = F.coalesce(*[F.when(F.shiftright(at, 33) == p, F.lit(s)) for p, s in starts]) if len(starts) < 100 else F.create_map(*[F.lit(x) for y in starts for x in y])[F.shiftright(at, 33)]
+    return ranges.withColumn(name, (begin if starts else F.lit(first)) + at.bitwiseAND(low)).drop("place_id")
+
+
 def numbered(log: DataFrame, order: list[str], first: int = 1) -> DataFrame:
-    """Log sequence numbers in an order. One task gives them, as a log's writer does."""
-    return log.withColumn("lsn", F.row_number().over(W.orderBy(*order)).cast("long") + (first - 1))
+    """Log sequence numbers in an order."""
+    return placed(log, "lsn", *order, first=first)
 
 
 def replay(log: DataFrame, upto: int | None = None) -> DataFrame:
@@ -129,11 +170,15 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def export_batches(splats: DataFrame, size: int, by_kappa: bool = True) -> DataFrame:
-    """Rows with batch_id, by kappa from the top, then id. Positions come from one global sort: range-partitioned rows
-    get their place from the counts of the ranges before them."""
+def export_batches(splats: DataFrame, size: int, by_kappa: bool = True, noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """Rows with position and batch_id, by kappa from the top, then id; noise is the deviation of what is added to mu."""
     order = [F.desc("kappa"), F.asc("splat_id")] if by_kappa else [F.asc("splat_id")]
-    return splats.withColumn("position", F.row_number().over(W.orderBy(*order)).cast("long")).withColumn("batch_id", F.floor((F.col("position") - 1) / size))
+    out = placed(splats, "position", *order).withColumn("batch_id", F.floor((F.col("position") - 1) / size))
+    if noise:
+        # two uniform numbers of a component's hash make a normal one, the same in every run
+        u = lambda i, salt: (F.pmod(F.xxhash64("splat_id", i, F.lit(seed), F.lit(salt)), F.lit(2**31)) + 1) / F.lit(float(2**31 + 1))
+        out = out.withColumn("mu", F.transform("mu", lambda x, i: x + noise * F.sqrt(-2 * F.log(u(i, 0))) * F.cos(2 * F.lit(3.141592653589793) * u(i, 1))))
+    return out
 
 
 class Catalog:

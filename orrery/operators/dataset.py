@@ -35,6 +35,32 @@ def tiers(rows: DataFrame, by: str, value: str) -> DataFrame:
     return r.select(by, F.when(F.col("r") <= F.floor(F.col("n") * 0.2), "hot").when(F.col("r") <= F.floor(F.col("n") * 0.5), "warm").otherwise("cold").alias("tier"))
 
 
+def ingested(vectors: DataFrame, n_active: int, most: int, alpha: float = 1.0, kappa: float = 10.0) -> DataFrame:
+    """vec_id, mu (of length 1), alpha, kappa, frequency of new splats; more than there is room for are refused."""
+    from ..functions.vectors import normalize
+
+    n = vectors.count()
+    if n_active + n > most:
+        raise ValueError(f"{n_active} splats and {n} more are over the {most} that there is room for")
+    return vectors.select("vec_id", normalize(F.col("embedding")).alias("mu"), F.lit(alpha).alias("alpha"), F.lit(kappa).alias("kappa"), F.lit(1.0).alias("frequency"))
+
+
+def statistics(splats: DataFrame, most: int) -> DataFrame:
+    """One row: how many splats there are and may be, their mean frequency, kappa and alpha, and the entropy, which is fixed."""
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("frequency", "kappa", "alpha")]
+    return splats.agg(F.count("*").alias("n_active_splats"), F.lit(most).cast("long").alias("max_splats"), *means, F.lit(0.5).alias("entropy"))
+
+
+def retrieve(queries: DataFrame, splats: DataFrame, k: int = 64) -> DataFrame:
+    """query_id, splat_id, distance, rank, mu, alpha, kappa: the splats nearest to each query, which is scaled to length 1."""
+    from ..functions.vectors import normalize
+    from .knn import knn
+
+    q = queries.select("query_id", normalize(F.col("embedding")).alias("embedding"))
+    hits = knn(q, splats.select(F.col("splat_id").alias("vec_id"), F.col("mu").alias("embedding")), k).withColumnRenamed("vec_id", "splat_id")
+    return hits.join(splats.select("splat_id", "mu", "alpha", "kappa"), "splat_id")
+
+
 def compression(splats: DataFrame, total: int, dim: int) -> DataFrame:
     """One row of sizes: vectors of 4-byte floats against splats with their member lists."""
     s = splats.agg(F.count("*").alias("splat_count"), F.sum(F.lit(4 * dim + 16) + 4 * F.col("n_vectors")).alias("compressed_bytes"))

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import doubles, l2, l2sq
-from .knn import packed
-
+from ..functions.vectors import doubles, l2
 FLOOR, HIGH, ALONE = 1e-10, 10.0, 1.0
 
 
@@ -19,28 +17,48 @@ def energy_of(total: Column) -> Column:
     return F.when(total.isNull() | (total < FLOOR), F.lit(HIGH)).otherwise(-F.log(total))
 
 
-def energies(points: DataFrame, splats: DataFrame) -> DataFrame:
-    """id, energy. Points (id, x) and splats (mu, alpha, kappa) meet in blocks; sums of blocks are added up."""
+def blocks(points: DataFrame, splats: DataFrame) -> DataFrame:
+    """Pairs of blocks: p_ids (of whatever type) and p of points (id, x), and mu, alpha and kappa of splats, all packed."""
     import pyarrow as pa
 
-    p = packed(points, "id", "x", ("p_ids", "p"))
+    def pack_points(batches):
+        for b in batches:
+            for a in range(0, len(b), 4096):
+                part = b.slice(a, 4096)
+                ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part["id"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([part["x"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()], pa.binary())], ["p_ids", "p"])
 
     def pack(batches):
         for b in batches:
             if len(b):
                 yield pa.RecordBatch.from_arrays([pa.array([b[c].flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes() if c == "mu" else b[c].to_numpy(zero_copy_only=False).astype(np.float64).tobytes()], pa.binary()) for c in ("mu", "alpha", "kappa")], ["mu", "alpha", "kappa"])
 
+    some = points.select("id", doubles(F.col("x")).alias("x")).filter("id is not null and size(x) > 0")
+    p = some.mapInArrow(pack_points, f"p_ids array<{points.schema['id'].dataType.simpleString()}>, p binary")
     s = splats.select(doubles(F.col("mu")).alias("mu"), F.col("alpha").cast("double"), F.col("kappa").cast("double")).mapInArrow(pack, "mu binary, alpha binary, kappa binary")
+    return p.crossJoin(s)
+
+
+def unpacked(b):
+    """Of each pair of a batch: ids, points, means, kappas, and alpha exp(-kappa d^2) of point and splat."""
+    for ids, x, mu, alpha, kappa in zip(b["p_ids"], *(b[c].to_pylist() for c in ("p", "mu", "alpha", "kappa")), strict=True):
+        ids, a, kp = ids.values, np.frombuffer(alpha, np.float64), np.frombuffer(kappa, np.float64)
+        x, m = np.frombuffer(x, np.float64).reshape(len(ids), -1), np.frombuffer(mu, np.float64).reshape(len(a), -1)
+        d2 = np.maximum((x * x).sum(1)[:, None] + (m * m).sum(1)[None] - 2 * x @ m.T, 0)
+        yield ids, x, m, kp, a * np.exp(-kp * d2)
+
+
+def energies(points: DataFrame, splats: DataFrame) -> DataFrame:
+    """id, energy. Points (id, x) and splats (mu, alpha, kappa) meet in blocks; sums of blocks are added up."""
+    import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            for ids, x, mu, alpha, kappa in zip(*(b[c].to_pylist() for c in ("p_ids", "p", "mu", "alpha", "kappa")), strict=True):
-                ids, a, kp = np.frombuffer(ids, np.int64), np.frombuffer(alpha, np.float64), np.frombuffer(kappa, np.float64)
-                x, m = np.frombuffer(x, np.float64).reshape(len(ids), -1), np.frombuffer(mu, np.float64).reshape(len(a), -1)
-                d2 = np.maximum((x * x).sum(1)[:, None] + (m * m).sum(1)[None] - 2 * x @ m.T, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((a * np.exp(-kp * d2)).sum(1))], ["id", "total"])
+            for ids, *_, w in unpacked(b):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(w.sum(1))], ["id", "total"])
 
-    sums = p.crossJoin(s).mapInArrow(run, "id long, total double").groupBy("id").agg(F.sum("total").alias("total"))
+    kind = points.schema["id"].dataType.simpleString()
+    sums = blocks(points, splats).mapInArrow(run, f"id {kind}, total double").groupBy("id").agg(F.sum("total").alias("total"))
     alone = splats.limit(1).agg(F.count("*").alias("some"))
     out = points.select("id").distinct().join(sums, "id", "left").crossJoin(alone)
     return out.select("id", F.when(F.col("some") == 0, F.lit(ALONE)).otherwise(energy_of(F.col("total"))).alias("energy"))
@@ -59,12 +77,23 @@ def with_confidence(rows: DataFrame) -> DataFrame:
 
 
 def gradient(points: DataFrame, splats: DataFrame) -> DataFrame:
-    """id, pos (from 0), value: of the energy at each point; not divided where the sum is at the floor."""
-    pairs = points.crossJoin(splats.select("mu", "alpha", "kappa"))
-    w = pairs.withColumn("w", F.col("alpha") * F.exp(-F.col("kappa") * l2sq(F.col("x"), F.col("mu"))))
-    flat = w.select("id", "w", "kappa", F.posexplode(F.zip_with(doubles(F.col("x")), doubles(F.col("mu")), lambda a, b: a - b)).alias("pos", "diff"))
-    s = flat.groupBy("id", "pos").agg(F.sum(2 * F.col("kappa") * F.col("w") * F.col("diff")).alias("num"), F.sum("w").alias("den"))
-    return s.select("id", F.col("pos").cast("long").alias("pos"), F.when(F.col("den") > FLOOR, F.col("num") / F.col("den")).otherwise(F.col("num")).alias("value"))
+    """id, pos (from 0), value: of the energy at each point; not divided where the sum is at the floor.
+
+    Of the weights w, the sum of 2 kappa w (x - mu) over a block of splats is a row sum less a matrix product."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for ids, x, m, kp, w in unpacked(b):
+                wk = 2 * w * kp
+                num = wk.sum(1)[:, None] * x - wk @ m
+                dim = x.shape[1]
+                rows = pa.array(np.repeat(np.arange(len(ids)), dim))
+                yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(np.tile(np.arange(dim), len(ids))), pa.array(num.ravel()), pa.array(np.repeat(w.sum(1), dim))], ["id", "pos", "num", "den"])
+
+    kind = points.schema["id"].dataType.simpleString()
+    s = blocks(points, splats).mapInArrow(run, f"id {kind}, pos long, num double, den double").groupBy("id", "pos").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    return s.select("id", "pos", F.when(F.col("den") > FLOOR, F.col("num") / F.col("den")).otherwise(F.col("num")).alias("value"))
 
 
 def grid(spark, resolution: int, reach: float, dim: int) -> DataFrame:
@@ -150,6 +179,25 @@ def regions(points: DataFrame, min_energy: float, n_regions: int, radius: float
     return points.sparkSession.createDataFrame(rows, "region long, center array<double>, energy double, n_points long")
 
 
+def gaps(points: DataFrame, n_gaps: int = 5, radius: float = 0.5) -> DataFrame:
+    """The regions of highest energy between what splats cover: those from energy 0.5 up."""
+    return regions(points, 0.5, n_gaps, radius)
+
+
+def suggestions(points: DataFrame, n: int = 3, min_energy: float = 0.7, radius: float = 0.5, near: int = 5) -> DataFrame:
+    """region, center, energy, n_points, nearby (ids of the points next to the center), description, queries and
+    potential_value of the n regions of highest energy."""
+    from .knn import knn
+
+    r = regions(points, min_energy, 2 * n, radius).orderBy(F.desc("energy"), "region").limit(n)
+    hits = knn(r.select(F.col("region").alias("query_id"), F.col("center").alias("embedding")), points.select(F.col("id").alias("vec_id"), F.col("x").alias("embedding")), near)
+    ids = hits.groupBy(F.col("query_id").alias("region")).agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("l")).select("region", F.col("l.vec_id").alias("nearby"))
+    e, first = F.format_number("energy", 3), F.array_join(F.slice(F.col("nearby").cast("array<string>"), 1, 3), ", ")
+    text = F.concat(F.lit("A region of high uncertainty (energy "), e, F.lit(") with "), F.col("n_points").cast("string"), F.lit(" points, next to "), first, F.lit("."))
+    queries = F.array(F.concat(F.lit("explore near "), F.col("nearby")[0].cast("string")), F.concat(F.lit("find what complements energy "), F.format_number("energy", 2)))
+    return r.join(ids, "region").select("region", "center", "energy", "n_points", "nearby", text.alias("description"), queries.alias("queries"), F.col("energy").alias("potential_value"))
+
+
 def boltzmann(points: DataFrame, temperature: float) -> DataFrame:
     """Points with their chance, proportional to exp(energy / temperature)."""
     top = points.agg(F.max("energy").alias("top"))
@@ -175,6 +223,16 @@ def criticality(splats: DataFrame, by: str = "cluster_id") -> DataFrame:
     return v.withColumn("state", F.when(i < 0.3, "subcritical").when(i < 0.7, "critical").otherwise("supercritical"))
 
 
+def soc_statistics(splats: DataFrame, by: str = "cluster_id", avalanches: tuple[int, ...] = ()) -> DataFrame:
+    """One row: criticality, the mean energy of clusters, whether relaxing or watching is called for, and the avalanches so
+    far (how many clusters each has hit)."""
+    c = splats.groupBy(by).agg(F.avg("energy").alias("e")).agg(F.coalesce(F.avg("e"), F.lit(0.0)).alias("equilibrium_state"))
+    r = criticality(splats, by).crossJoin(c)
+    flags = [(F.col("state") == "supercritical").alias("needs_relaxation"), F.col("state").isin("critical", "supercritical").alias("needs_monitoring")]
+    past = [F.lit(len(avalanches)).cast("long").alias("n_avalanches"), F.lit(avalanches[-1] if avalanches else 0).cast("long").alias("last_avalanche_clusters")]
+    return r.select("state", "criticality_index", "n_clusters", "equilibrium_state", *flags, *past)
+
+
 def consolidate(splats: DataFrame, threshold: float = 0.8) -> DataFrame:
     return splats.filter(F.col("alpha") >= threshold)
 

@@ -67,6 +67,13 @@ def hybrid(hits: DataFrame, nodes: DataFrame, edges: DataFrame, k: int) -> DataF
     return j.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
+def search_entities(embedded: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, vec_id, similarity, rank: of embedded entities (vec_id, embedding) those of greatest product with each query."""
+    from .knn import knn
+
+    return knn(queries, embedded, k, "dot").select("query_id", "vec_id", (-F.col("distance")).alias("similarity"), "rank")
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """kind, n: every kind, those without nodes too, and EDGE."""
     kinds = nodes.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")

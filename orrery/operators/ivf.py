@@ -32,7 +32,7 @@ def fine_clusters(coarse: DataFrame, n_fine: int, seed: int = 42, iterations: in
         rng = np.random.default_rng(seed + int(pdf["coarse_id"].iloc[0]))
         c = x[rng.choice(len(x), k, replace=False)]
         for _ in range(iterations):
-            own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1) if len(x) * k < 2_000_000 else ((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T).argmin(1)
+            own = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
             new = np.stack([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
             if np.allclose(new, c, atol=1e-6):
                 break
@@ -107,6 +107,58 @@ def save(assigned: DataFrame, path: str) -> None:
     assigned.write.mode("overwrite").partitionBy("coarse_id").parquet(path)
 
 
+def load(spark, path: str) -> DataFrame:
+    """A saved index; the clusters that a search probes are all that it reads of it."""
+    a = spark.read.parquet(path)
+    return a.withColumn("coarse_id", F.col("coarse_id").cast("int"))
+
+
+def lloyd(vectors: DataFrame, k: int, iterations: int = 30, seed: int = 42, atol: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
+    """vec_id, embedding, coarse_id, and the centroids, of plain k-means from k seeded vectors: rounds of assigning and
+    averaging until no component moves by more than atol; a cluster without members keeps its centroid.
+
+    A round is one partial aggregate: what is shuffled is a sum of each cluster and task."""
+    v = vectors.select("vec_id", doubles(F.col("embedding")).alias("embedding"))
+    first = v.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(k).collect()  # k vectors
+    c = np.array([r.embedding for r in first])
+
+    def own(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+
+    for _ in range(iterations if len(c) else 0):
+
+        def sums(batches, c=c):
+            s, n = np.zeros_like(c), np.zeros(len(c))
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["embedding"].to_numpy())
+                    j = own(x, c)
+                    np.add.at(s, j, x)
+                    n += np.bincount(j, minlength=len(c))
+            yield pd.DataFrame({"coarse_id": np.flatnonzero(n), "s": list(s[n > 0]), "n": n[n > 0]})
+
+        parts = v.select("embedding").mapInPandas(sums, "coarse_id int, s array<double>, n double")
+        flat = parts.select("coarse_id", "n", F.posexplode("s").alias("pos", "x"))
+        means = flat.groupBy("coarse_id", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+        new = c.copy()
+        for r in means.groupBy("coarse_id").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("l")).collect():  # k rows
+            new[r.coarse_id] = [y.x for y in r.l]
+        if np.allclose(new, c, rtol=1e-5, atol=atol):
+            break
+        c = new
+
+    @F.pandas_udf("int")
+    def assign(x: pd.Series) -> pd.Series:
+        return pd.Series(own(np.stack(x.to_numpy()), c) if len(x) else [], dtype="int32")
+
+    return v.withColumn("coarse_id", assign("embedding")), c
+
+
+def distances_to(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """vec_id, coarse_id, distance of every vector to every centroid."""
+    return vectors.crossJoin(centroids).select("vec_id", "coarse_id", l2(F.col("embedding"), F.col("centroid")).alias("distance"))
+
+
 def silhouette(vectors: DataFrame, seed: int = 42) -> float | None:
     """Of k-means of root-n clusters, by squared Euclidean distance; None for fewer than three vectors."""
     f = vectors.select(array_to_vector(doubles(F.col("embedding"))).alias("features"))

@@ -48,7 +48,8 @@ def nearest(qi: np.ndarray, q: np.ndarray, vi: np.ndarray, v: np.ndarray, k: int
     n = min(k, len(vi))
     edge = np.partition(s, n - 1, 1)[:, n - 1 : n]
     # near ties stay until they are measured exactly
-    i, j = np.nonzero((s <= edge + 1e-9 * (1 + np.abs(edge))) & np.isfinite(s))
+    slack = 1e-9 * (1 + np.abs(edge)) + 1e-15 * q.shape[1] * ((q * q).sum(1)[:, None] + (v * v).sum(1).max())  # what rounding can do
+    i, j = np.nonzero((s <= edge + slack) & np.isfinite(s))
     return i, vi[j], exact(q[i], v[j], metric)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import haversine, l2, md5_mod
+from .collection import placed
 
 RRF_K = 60
 
@@ -68,7 +71,7 @@ def least_loaded(nodes: DataFrame) -> DataFrame:
 
 def round_robin(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, node_id in turn."""
-    q = queries.withColumn("turn", F.row_number().over(W.orderBy("query_id")) - 1)
+    q = placed(queries, "turn", "query_id", first=0)
     n = nodes.select("node_id", (F.row_number().over(W.orderBy("node_id")) - 1).alias("place"))
     n = n.crossJoin(nodes.agg(F.count("*").alias("n_nodes")))
     return q.join(n, F.pmod(q["turn"], n["n_nodes"]) == n["place"]).select("query_id", "node_id")
@@ -89,6 +92,31 @@ def energy_draw(nodes: DataFrame, seed: int = 42) -> DataFrame:
     return energy_chances(nodes).withColumn("t", -F.log(F.rand(seed)) / F.col("p")).orderBy("t", "node_id").limit(1).select("node_id")
 
 
+def least_active(nodes: DataFrame) -> DataFrame:
+    """Nodes by rising number of active queries."""
+    return nodes.select("node_id", "active_queries").withColumn("rank", F.row_number().over(W.orderBy("active_queries", "node_id")).cast("long"))
+
+
+class EnergyCache:
+    """Energies of (query, node) for some seconds; a miss takes the node's last energy, or 1."""
+
+    def __init__(self, ttl: float = 60.0, clock=time.monotonic):
+        self.ttl, self.clock = ttl, clock
+        self.last: dict[str, float] = {}
+        self.kept: dict[tuple[str, str], tuple[float, float]] = {}
+
+    def report(self, node: str, energy: float) -> None:
+        self.last[node] = energy
+
+    def get(self, query: str, node: str) -> float:
+        now = self.clock()
+        at, energy = self.kept.get((query, node), (None, 0.0))
+        if at is None or now - at >= self.ttl:
+            energy = self.last.get(node, 1.0)
+            self.kept[query, node] = now, energy
+        return energy
+
+
 def locality(nodes: DataFrame) -> DataFrame:
     s = 1 - F.least(F.coalesce("last_energy", F.lit(1.0)), F.lit(1.0))
     return nodes.select("node_id", s.alias("score")).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "node_id")).cast("long"))

@@ -196,6 +196,23 @@ def ivf_kmeans_recall(s, d):
     return knn.recall(knn.ranked(found, 10), knn.knn(as_queries(e), e, 10, keep_self=False), 10)
 
 
+@query()
+def ivf_lloyd_recall(s, d):
+    """Plain k-means, exact distances in the probed clusters; as many of them as 400 sampled queries need for 0.92."""
+    e = emb(s, d)
+    index, _ = ivf.lloyd(e, 20)
+    some = as_queries(e.orderBy(F.xxhash64("vec_id"), "vec_id").limit(400))
+    n_probe = ivf.probes_for(some, index, 10, 0.92)
+    found = ivf.lod2(ivf.probe(as_queries(e), ivf.centroids_of(index, "coarse_id"), n_probe), index, 11).filter("query_id != vec_id")
+    return knn.recall(knn.ranked(found, 10), knn.knn(as_queries(e), e, 10, keep_self=False), 10)
+
+
+@query(f"WITH {E}, {CENT} SELECT e.vec_id, c.label AS coarse_id, round(list_distance(e.x, c.c), {R}) AS distance FROM e CROSS JOIN c")
+def cluster_distances(s, d):
+    e = emb(s, d)
+    return rounded(ivf.distances_to(e, ivf.centroids_of(e, "label").withColumnRenamed("label", "coarse_id")), "distance")
+
+
 @query()
 def lsh_recall(s, d):
     e = emb(s, d)
@@ -318,6 +335,21 @@ def filter_json(s, d):
     return t(s, d, "events").filter(where).select("event_id", "event_type")
 
 
+@query("SELECT event_id FROM events WHERE value > 20 AND value <= 90.5")
+def filter_floats(s, d):
+    """An integer literal against fractions."""
+    m = t(s, d, "events").select("event_id", F.to_json(F.struct(F.col("value").alias("score"))).alias("metadata"))
+    return m.filter(filters.on_json({"score": {"$gt": 20, "$lte": 90.5}})).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) < 30 AND event_type <> 'view'")
+def filter_dotted(s, d):
+    """Keys with dots, quotes and brackets."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    m = t(s, d, "events").select("event_id", F.to_json(F.struct(k.alias("a.b"), F.col("event_type").alias("it's[0]"))).alias("metadata"))
+    return m.filter(filters.on_json({"a.b": {"$lt": 30}, "it's[0]": {"$ne": "view"}})).select("event_id")
+
+
 @query("SELECT vec_id, list_bool_and(list_transform(range(1, 4), lambda i: embedding[i] >= -0.1 AND embedding[i] <= 0.1)) AS inside FROM embeddings")
 def filter_box(s, d):
     box = [F.array(*[F.lit(x)] * 3) for x in (-0.1, 0.1)]
@@ -357,7 +389,7 @@ def crud_update(s, d):
     return shown(collection.update(c, changes, 3))
 
 
-@query(f"SELECT id, CASE WHEN label = 2 THEN 'back' ELSE document END AS document, false AS deleted, CASE WHEN label = 2 THEN 3::BIGINT ELSE 1::BIGINT END AS version, first FROM ({ROWS}) UNION ALL SELECT 'fresh', 'back', false, 3::BIGINT, NULL")
+@query(f"SELECT id, CASE WHEN label = 2 THEN 'back' ELSE document END AS document, false AS deleted, CASE WHEN label = 2 THEN 3::BIGINT ELSE 1::BIGINT END AS version, CASE WHEN label = 2 THEN 0 ELSE first END AS first FROM ({ROWS}) UNION ALL SELECT 'fresh', 'back', false, 3::BIGINT, 0")
 def crud_upsert(s, d):
     r = rows_of(s, d)
     c = collection.delete(snapshot(s, d), r.filter("label = 2"))
@@ -448,6 +480,24 @@ def label_energies(s, d):
     return energy.energies(points(s, d), label_splats(s, d))
 
 
+NEGATED = ENERGY.replace("e.x, s.mu", "list_transform(e.x, lambda y: -y), s.mu")
+
+
+@query(f"""SELECT CAST(e.vec_id AS VARCHAR) AS id, label <> 2 AS success, CASE WHEN label = 2 THEN 'is deleted' ELSE 'updated' END AS message, CASE WHEN label IN (1, 3) THEN round(b.energy - a.energy, {R}) ELSE 0 END AS energy_delta
+  FROM embeddings e JOIN (WITH {ENERGY} SELECT * FROM en) a ON a.id = vec_id JOIN (WITH {NEGATED} SELECT * FROM en) b ON b.id = vec_id WHERE label < 4 UNION ALL SELECT 'absent', false, 'not found', 0""")
+def crud_update_result(s, d):
+    r = rows_of(s, d).filter("label < 4")
+    changes = r.select("id", F.when(F.col("label").isin(1, 2, 3), F.transform("vector", lambda y: -y)).alias("vector")).unionByName(s.createDataFrame([("absent", None)], "id string, vector array<float>"))
+    c = collection.delete(snapshot(s, d), r.filter("label = 2"))
+    return rounded(collection.update_result(c, changes, label_splats(s, d)), "energy_delta")
+
+
+@query(f"WITH {ENERGY} SELECT count(*) AS deleted, round(sum(energy), 4) AS energy_freed FROM en JOIN embeddings ON vec_id = id WHERE label = 4")
+def crud_delete_result(s, d):
+    ids = rows_of(s, d).filter("label = 4").select("id").unionByName(s.createDataFrame([("absent",)], "id string"))
+    return rounded(collection.delete_result(snapshot(s, d), ids, label_splats(s, d)), "energy_freed", digits=4)
+
+
 @query(f"WITH {SPLATS} SELECT label, round(alpha, {R}) AS alpha, round(kappa, {R}) AS kappa, n_vectors, round(mean_distance, {R}) AS mean_distance FROM s")
 def dataset_splats(s, d):
     return rounded(label_splats(s, d).drop("mu"), "alpha", "kappa", "mean_distance")
@@ -550,6 +600,58 @@ def knn_energy(s, d):
     return rounded(energy.with_confidence(hits).drop("zone"), "energy", "confidence").select("query_id", "vec_id", "distance", "rank", "energy", "confidence")
 
 
+@query(f"""WITH {ENERGY}, h AS ({knn_sql(5)}), m AS (SELECT h.query_id, avg(1 / (1 + en.energy)) AS c FROM h JOIN en ON en.id = h.vec_id GROUP BY h.query_id)
+  SELECT query_id, round(en.energy, {R}) AS query_energy, round(m.c, {R}) AS mean_confidence FROM m JOIN en ON en.id = m.query_id""")
+def knn_energy_summary(s, d):
+    e, en = emb(s, d), label_energies(s, d)
+    hits = energy.with_confidence(knn.knn(as_queries(e), e, 5).join(en.withColumnRenamed("id", "vec_id"), "vec_id"))
+    m = hits.groupBy("query_id").agg(F.avg("confidence").alias("mean_confidence"))
+    return rounded(m.join(en.select(F.col("id").alias("query_id"), F.col("energy").alias("query_energy")), "query_id"), "query_energy", "mean_confidence")
+
+
+@query(f"""WITH {ENERGY}, k AS (SELECT label, avg(energy) AS e, count(*) AS n FROM en JOIN embeddings ON vec_id = id GROUP BY label),
+  v AS (SELECT var_pop(e) AS ev, var_pop(n) AS sv, count(*) AS n_clusters, avg(e) AS eq FROM k), i AS (SELECT *, 0.6::DOUBLE * ev / (ev + 1) + 0.4::DOUBLE * sv / (sv + 1) AS idx FROM v)
+  SELECT CASE WHEN idx < 0.3 THEN 'subcritical' WHEN idx < 0.7 THEN 'critical' ELSE 'supercritical' END AS state, round(idx, {R}) AS criticality_index, n_clusters, round(eq, {R}) AS equilibrium_state,
+  idx >= 0.7 AS needs_relaxation, idx >= 0.3 AS needs_monitoring, 2::BIGINT AS n_avalanches, 4::BIGINT AS last_avalanche_clusters FROM i""")
+def soc_statistics(s, d):
+    x = label_energies(s, d).join(emb(s, d).select(F.col("vec_id").alias("id"), F.col("label").alias("cluster_id")), "id")
+    return rounded(energy.soc_statistics(x, avalanches=(7, 4)), "criticality_index", "equilibrium_state")
+
+
+@query()
+def exp_gaps(s, d):
+    p = points(s, d)
+    return energy.gaps(p.join(label_energies(s, d), "id"), 5, 0.9)
+
+
+@query()
+def exp_suggestions(s, d):
+    p = points(s, d)
+    return energy.suggestions(p.join(label_energies(s, d), "id"), 3, 0.5, 0.9)
+
+
+@query(f"WITH {SPLATS} SELECT count(*) AS n_active_splats, 100000::BIGINT AS max_splats, round(avg(n_vectors), {R}) AS mean_frequency, round(avg(kappa), {R}) AS mean_kappa, round(avg(alpha), {R}) AS mean_alpha, 0.5::DOUBLE AS entropy FROM s")
+def splat_statistics(s, d):
+    return rounded(dataset.statistics(label_splats(s, d).withColumnRenamed("n_vectors", "frequency"), 100_000), "mean_frequency", "mean_kappa", "mean_alpha")
+
+
+@query(f"WITH {E} " + long_sql("SELECT vec_id, list_transform(x, lambda y: y / (sqrt(list_dot_product(x, x)) + 1e-8::DOUBLE)) AS vec FROM e"))
+def splat_ingest(s, d):
+    return long_form(dataset.ingested(emb(s, d), 0, 1_000_000), "vec_id", "mu")
+
+
+@query(f"""WITH {SPLATS}, q AS (SELECT vec_id, list_transform(x, lambda y: y / (sqrt(list_dot_product(x, x)) + 1e-8::DOUBLE)) AS x FROM e),
+  r AS (SELECT q.vec_id AS query_id, s.label AS splat_id, list_distance(q.x, s.mu) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, s.mu), s.label) AS rank, s.alpha, s.kappa FROM q CROSS JOIN s)
+  SELECT query_id, splat_id, round(distance, {R}) AS distance, rank, round(alpha, {R}) AS alpha, round(kappa, {R}) AS kappa FROM r WHERE rank <= 4""")
+def splat_retrieve(s, d):
+    return rounded(dataset.retrieve(as_queries(emb(s, d)), label_splats(s, d).withColumnRenamed("label", "splat_id"), 4).drop("mu"), "distance", "alpha", "kappa")
+
+
+@query("SELECT event_id, greatest(10, least(1000, CAST(trunc(value * 0.5::DOUBLE * 1024 / 3) AS BIGINT))) AS rows FROM events")
+def batch_estimate(s, d):
+    return t(s, d, "events").select("event_id", v.batch_estimate(F.col("value")).alias("rows"))
+
+
 # shards and routing
 
 SHARD = "(WITH h AS (SELECT {id} AS id, md5(CAST({id} AS VARCHAR)) AS h FROM {table}), p AS (SELECT id, [CAST('0x' || h[1 + 8 * i : 8 + 8 * i] AS BIGINT) FOR i IN range(4)] AS p FROM h) SELECT id, (((((p[1] % 7) * (4294967296 % 7) + p[2]) % 7) * (4294967296 % 7) + p[3]) % 7 * (4294967296 % 7) + p[4]) % 7 AS n FROM p)"
@@ -633,6 +735,21 @@ def route_round_robin(s, d):
     return shard.round_robin(q, nodes(s, d).select("node_id"))
 
 
+@query(f"WITH {NODES} SELECT node_id, active AS active_queries, row_number() OVER (ORDER BY active, node_id) AS rank FROM n")
+def route_least_active(s, d):
+    return shard.least_active(nodes(s, d))
+
+
+@query("SELECT conv_id AS query_id, user_id AS node_id FROM (SELECT DISTINCT conv_id FROM conversations) CROSS JOIN (SELECT DISTINCT user_id FROM events)")
+def route_broadcast(s, d):
+    return shard.broadcast_all(t(s, d, "conversations").select(F.col("conv_id").alias("query_id")).distinct(), nodes(s, d))
+
+
+@query(f"SELECT node_id, count(*) AS n FROM ({_sql['route_round_robin']}) GROUP BY node_id")
+def route_counts(s, d):
+    return shard.route_counts(route_round_robin(s, d))
+
+
 # control
 
 
@@ -682,6 +799,14 @@ def prefetch_next(s, d):
     return control.next_queries(role_log(s, d))
 
 
+@query("""WITH l AS (SELECT role AS query, turn, lag(role) OVER w AS one, lag(role, 2) OVER w AS two FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  p AS (SELECT query, turn, two AS first, two || '|' || one || '|' || query AS pattern FROM l WHERE two IS NOT NULL UNION ALL SELECT query, turn, one, one || '|' || query FROM l WHERE two IS NOT NULL),
+  n AS (SELECT query, pattern, first, count(*) / (1 + (SELECT max(turn) FROM conversations) - max(turn))::DOUBLE AS score FROM p GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, pattern DESC) AS r FROM n) SELECT query, first AS predicted, round(score, 6) AS score FROM r WHERE r = 1""")
+def prefetch_predicted(s, d):
+    return rounded(control.predicted(role_log(s, d)), "score")
+
+
 @query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS query, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, query LIMIT 10")
 def query_frequency(s, d):
     return control.most_common(t(s, d, "events").select(F.get_json_object("props", "$.k").cast("long").alias("query")), 10)
@@ -800,6 +925,35 @@ def graph_extract_store(s, d):
     return graph.stats(nodes_, edges_)
 
 
+def entity_embeddings(s, d):
+    """A number and the mean vector of each source's documents."""
+    x = emb(s, d).join(t(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "source"), "vec_id")
+    return ivf.centroids_of(x.withColumn("key", F.md5(F.lower("source"))), "key")
+
+
+@query(f"""WITH {E}, m AS (SELECT md5(lower(source)) AS key, list(m ORDER BY pos) AS c FROM (SELECT source, pos, avg(val) AS m FROM (SELECT lower(source) AS source, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS val FROM e JOIN documents ON doc_id = vec_id) GROUP BY source, pos) GROUP BY source),
+  n AS (SELECT row_number() OVER (ORDER BY key) AS vec_id, c FROM m), r AS (SELECT e.vec_id AS query_id, n.vec_id, list_dot_product(e.x, n.c) AS sim, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_dot_product(e.x, n.c) DESC, n.vec_id) AS rank FROM e CROSS JOIN n)
+  SELECT query_id, vec_id, round(sim, {R}) AS similarity, rank FROM r WHERE rank <= 5""")
+def graph_entities(s, d):
+    named = collection.placed(entity_embeddings(s, d), "vec_id", F.col("key")).select("vec_id", F.col("centroid").alias("embedding"))
+    return rounded(graph.search_entities(named, as_queries(emb(s, d)), 5), "similarity")
+
+
+@query(f"WITH RECURSIVE {GRAPH}, b AS (SELECT 'd:' || CAST(doc_id AS VARCHAR) AS id, 0::BIGINT AS depth FROM documents WHERE lang = 'fr' UNION SELECT ed.target, b.depth + 1 FROM b JOIN ed ON ed.source = b.id WHERE b.depth < 2), m AS (SELECT id, min(depth) AS depth FROM b GROUP BY id) SELECT source, target, relation FROM ed WHERE source IN (SELECT id FROM m WHERE depth < 2)")
+def graph_expanded(s, d):
+    _, e = doc_graph(s, d)
+    return graph.expanded_edges(graph_bfs(s, d), e, 2).select("source", "target", "relation")
+
+
+@query(f"""WITH {E}, {CENT}, q AS (SELECT vec_id, 0.7::DOUBLE + (vec_id % 4) / 10.0::DOUBLE AS score, list_transform(x, lambda y: y / (sqrt(list_dot_product(x, x)) + 1e-8::DOUBLE)) AS x FROM e),
+  u AS (SELECT label, list_transform(c, lambda y: y / sqrt(list_dot_product(c, c)) * 2) AS c FROM c), r AS (SELECT q.vec_id, q.score, u.label AS cluster_id, list_dot_product(q.x, u.c) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.x, u.c) DESC, u.label) AS r FROM q CROSS JOIN u)
+  SELECT vec_id, round(CASE WHEN sim > 0.8 THEN least(1.0::DOUBLE, score + 0.2::DOUBLE) ELSE score END, {R}) AS score, cluster_id FROM r WHERE r = 1""")
+def text_semantic(s, d):
+    e = emb(s, d)
+    means = ivf.centroids_of(e, "label").select(F.col("label").alias("splat_id"), F.transform("centroid", lambda y: y / v.norm(F.col("centroid")) * 2).alias("mu"))
+    return rounded(text.validated(e.select("vec_id", (0.7 + F.col("vec_id") % 4 / 10.0).alias("score"), "embedding"), means), "score")
+
+
 # encodings
 
 
@@ -840,9 +994,9 @@ def encode_attr(s, d):
     return long_form(splats3(s, d).select("vec_id", encode.attributes(F.col("opacity"), F.col("scale"), F.col("rotation")).alias("c")), "vec_id", "c")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT vec_id, pos + {offset} AS pos, value FROM ({_sql[part]})" for part, offset in (("encode_position", 0), ("encode_color", 60), ("encode_attr", 572))))
 def encode_full(s, d):
-    return encode.full(splats3(s, d)).select("vec_id", F.size("code").cast("long").alias("n"), F.round(v.total(F.col("code")), 4).alias("total"))
+    return long_form(encode.full(splats3(s, d)), "vec_id", "code")
 
 
 @query(
