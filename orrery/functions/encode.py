@@ -21,6 +21,13 @@ def position(rows: DataFrame) -> DataFrame:
     return b.withColumn("position_code", code).drop(*[f"{n}{i}" for i in range(3) for n in ("lo", "hi")])
 
 
+def unit_colors(rows: DataFrame) -> DataFrame:
+    """rows whose colours lie in [0, 1]: where one of all is above 1, all are taken as of [0, 255]."""
+    top = rows.agg(F.coalesce(F.max(F.array_max("color")), F.lit(0.0)).alias("top_color"))
+    scale = F.when(F.col("top_color") > 1, 255.0).otherwise(1.0)
+    return rows.crossJoin(F.broadcast(top)).withColumn("color", F.transform("color", lambda x: x / scale)).drop("top_color")  # a single row
+
+
 def color(c: Column) -> Column:
     """Weights of 8 x 8 x 8 bins, falling off with the distance from the colour's own."""
     own = [F.least(F.floor(c[i] * BINS), F.lit(BINS - 1)) for i in range(3)]
@@ -46,4 +53,4 @@ def attributes(o: Column, s: Column, q: Column) -> Column:
 
 def full(rows: DataFrame) -> DataFrame:
     """rows with `code`: position, colour and attributes, 60 + 512 + 64 numbers."""
-    return position(rows).withColumn("code", F.concat("position_code", color(F.col("color")), attributes(F.col("opacity"), F.col("scale"), F.col("rotation")))).drop("position_code")
+    return position(unit_colors(rows)).withColumn("code", F.concat("position_code", color(F.col("color")), attributes(F.col("opacity"), F.col("scale"), F.col("rotation")))).drop("position_code")

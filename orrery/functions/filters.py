@@ -31,7 +31,8 @@ def predicate(where: Mapping[str, Any], field: Callable[[str, type], Column]) ->
         for op, x in (spec if isinstance(spec, Mapping) else {"$eq": spec}).items():
             if op not in OPERATORS:
                 raise ValueError(f"unknown operator {op}")
-            tests.append(F.coalesce(OPERATORS[op](field(key, type(x)), F.lit(x)), F.lit(False)))
+            far = type(x) is int and abs(x) >= 2**63
+            tests.append(F.coalesce(OPERATORS[op](field(key, type(x)), F.lit(float(x) if far else x)), F.lit(False)))
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 

@@ -88,9 +88,10 @@ def probe_rows(queries: DataFrame, lsh: CrossPolytope, n_probes: int) -> DataFra
     return queries.select("query_id", "embedding").mapInPandas(run, "query_id long, table_id int, bucket long")
 
 
-def query(queries: DataFrame, vectors: DataFrame, lsh: CrossPolytope, k: int = 10, n_probes: int = 50, n_candidates: int = 600, keep_self: bool = True) -> DataFrame:
-    """query_id, vec_id, distance, rank: candidates by number of shared buckets (then id), ranked by exact distance."""
-    hits = probe_rows(queries, lsh, n_probes).join(buckets(vectors, lsh), ["table_id", "bucket"]).groupBy("query_id", "vec_id").agg(F.count("*").alias("shared"))
+def query(queries: DataFrame, vectors: DataFrame, lsh: CrossPolytope, k: int = 10, n_probes: int = 50, n_candidates: int = 600, keep_self: bool = True, built: DataFrame | None = None) -> DataFrame:
+    """query_id, vec_id, distance, rank: candidates by number of shared buckets (then id), ranked by exact distance.
+    built: the buckets of the vectors, where they are at hand."""
+    hits = probe_rows(queries, lsh, n_probes).join(buckets(vectors, lsh) if built is None else built, ["table_id", "bucket"]).groupBy("query_id", "vec_id").agg(F.count("*").alias("shared"))
     if not keep_self:
         hits = hits.filter("query_id != vec_id")
     w = W.partitionBy("query_id").orderBy(F.desc("shared"), "vec_id")

@@ -1,7 +1,9 @@
 """Data sources: a binary format of splat summaries, and NumPy arrays.
 
 Binary: a header of four unsigned ints (splats, dimensions, original vectors, levels), then for each splat its mean (float
-of each dimension), alpha, kappa, the number of its vectors, and their indices (ints)."""
+of each dimension), alpha, kappa, the number of its vectors, and their indices (ints).
+
+Both formats are for paths that every machine sees as files (a mounted share, or a single machine)."""
 
 from __future__ import annotations
 
@@ -112,7 +114,7 @@ class SplatWriter(DataSourceWriter):
 
 
 class NpySource(DataSource):
-    """format("npy"), read: arrays of vectors, one row each, with their file and place."""
+    """format("npy"), read and write: arrays of vectors, one row each, with their file and place."""
 
     @classmethod
     def name(cls) -> str:
@@ -121,6 +123,9 @@ class NpySource(DataSource):
     def schema(self) -> str:
         return "shard string, position long, vector array<float>"
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return NpyWriter(self.options["path"])
+
     def reader(self, schema) -> DataSourceReader:
         return NpyReader(self.options["path"], int(self.options.get("rows", 100_000)))
 
@@ -143,6 +148,36 @@ class NpyReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(f)] * len(part)), pa.array(np.arange(a + i, a + i + len(part))), lists], ["shard", "position", "vector"])
 
 
+class NpyWriter(DataSourceWriter):
+    """A file for each partition that has rows; names are given when all are there."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator) -> WriterCommitMessage:
+        from pyspark import TaskContext
+
+        rows = [row.vector for row in iterator]
+        if not rows:
+            return Written(None)
+        context = TaskContext.get()
+        os.makedirs(self.path, exist_ok=True)
+        path = os.path.join(self.path, f".part-{context.partitionId():05d}-{context.taskAttemptId()}.npy")
+        np.save(path, np.asarray(rows, np.float32))
+        return Written(path)
+
+    commit, abort = SplatWriter.commit, SplatWriter.abort
+
+
+def save_energy(splats: DataFrame, path: str) -> None:
+    """The state of an energy landscape: mu, alpha and kappa of its splats."""
+    splats.select("splat_id", "mu", "alpha", "kappa").write.mode("overwrite").parquet(path)
+
+
+def load_energy(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SplatFile)
     spark.dataSource.register(NpySource)

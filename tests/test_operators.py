@@ -302,3 +302,153 @@ def test_sphere(spark):
     back = df.select("b", v.exp_map_sphere(F.col("a"), v.log_map_sphere(F.col("a"), F.col("b"))).alias("c"), v.geodesic(F.col("a"), F.col("b")).alias("g"), v.norm(v.log_map_sphere(F.col("a"), F.col("b"))).alias("n"))
     for r in back.collect():
         assert np.allclose(r.b, r.c) and abs(r.g - r.n) < 1e-9
+
+
+def test_plain_kmeans_is_that_of_a_loop(spark):
+    x = np.random.default_rng(8).normal(size=(200, 3)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got, c = ivf.lloyd(df, 6)
+    first = [r.vec_id for r in df.orderBy(F.xxhash64("vec_id", F.lit(42)), "vec_id").limit(6).collect()]
+    want = x[first]
+    for _ in range(30):
+        own = ((x[:, None] - want[None]) ** 2).sum(2).argmin(1)
+        new = np.stack([x[own == j].mean(0) if (own == j).any() else want[j] for j in range(6)])
+        if np.allclose(new, want, atol=1e-6):
+            break
+        want = new
+    assert np.allclose(c, want) and {r.vec_id: r.coarse_id for r in got.collect()} == dict(enumerate(((x[:, None] - want[None]) ** 2).sum(2).argmin(1).tolist()))
+
+
+def test_avalanche_is_that_of_a_queue(spark):
+    r = np.random.default_rng(9)
+    x, e = r.normal(size=(60, 2)), r.uniform(0.4, 1.2, 60)
+    s = spark.createDataFrame([(i, float(e[i]), 1.0, x[i].tolist()) for i in range(60)], "splat_id long, energy double, alpha double, mu array<double>")
+    got = {q.splat_id: (q.energy, q.alpha, q.hit) for q in energy.avalanche(s, energy.neighbours_within(s, 1.0)).collect()}
+    near = {i: [j for d, j in sorted((np.linalg.norm(x[i] - x[j]), j) for j in range(60) if j != i) if d <= 1.0][:10] for i in range(60)}
+    held, queue, seen, hit = e.copy(), [int(e.argmax())], set(), set()
+    while queue:
+        i = queue.pop(0)
+        if i in seen:
+            continue
+        seen.add(i)
+        if held[i] > 0.8:
+            for j in near[i]:
+                held[j] += held[i] * 0.3 / len(near[i])
+                if held[j] > 0.8 and j not in seen:
+                    queue.append(j)
+            held[i] *= 0.7
+            hit.add(i)
+    assert len(hit) > 5 and {i for i in got if got[i][2]} == hit
+    assert all(np.isclose(got[i][0], held[i]) and np.isclose(got[i][1], 0.7 if i in hit else 1.0) for i in range(60))
+
+
+def test_langevin_is_that_of_a_loop(spark):
+    mu, a, k = np.array([[0.0, 1.0], [2.0, 0.0]]), np.array([0.5, 1.0]), np.array([1.0, 3.0])
+    splats = spark.createDataFrame([(m.tolist(), float(p), float(q)) for m, p, q in zip(mu, a, k, strict=True)], "mu array<double>, alpha double, kappa double")
+    start = np.array([[0.1, 0.2], [1.5, -0.5]])
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(start)], "id long, x array<double>")
+    for r in energy.langevin(points, splats, steps=15).collect():
+        rng, x = np.random.default_rng([42, r.id]), start[r.id].copy()
+        for _ in range(15):
+            w = a * np.exp(-k * ((x - mu) ** 2).sum(1))
+            g = sum(2 * k[j] * w[j] * (x - mu[j]) for j in range(2)) / w.sum()
+            x = x - g * 1e-3 / 0.1 + np.sqrt(2 * 1e-3 / 0.1) * rng.normal(size=2)
+        assert np.allclose(r.x, x)
+
+
+def test_gaps_and_suggestions(spark):
+    rows = [(i, [float(i // 5), 0.01 * i], 0.4 + 0.1 * (i % 5) + 0.01 * (i // 5)) for i in range(15)]
+    p = spark.createDataFrame(rows, "id long, x array<double>, energy double")
+    assert energy.gaps(p, 2).count() == 2
+    got = energy.suggestions(p, 2, 0.5).orderBy(F.desc("energy")).collect()
+    assert [round(r.potential_value, 2) for r in got] == [0.82, 0.81] and [r.n_points for r in got] == [4, 4]
+    for r in got:
+        assert r.nearby == [i for _, i in sorted((np.linalg.norm(np.array(x) - r.center), i) for i, x, _ in rows)[:5]]
+        assert r.description.startswith(f"A region of high uncertainty (energy {r.energy:.3f}) with 4 points") and r.queries[0] == f"explore near {r.nearby[0]}"
+
+
+def test_filters_on_numbers_and_keys(spark):
+    rows = [(1, '{"score": 2.5, "a.b": 3}'), (2, '{"score": 2, "a.b": 3.0}'), (3, '{"score": 3, "it\'s": "x"}'), (4, '{"score": "x", "big": 1e30}')]
+    df = spark.createDataFrame(rows, "id long, metadata string")
+    n = lambda w: {r.id for r in df.filter(filters.on_json(w)).collect()}
+    assert n({"score": {"$gt": 2}}) == {1, 3} and n({"score": 2}) == {2} and n({"score": {"$lte": 2.5}}) == {1, 2}
+    assert n({"a.b": 3}) == {1, 2} and n({"it's": "x"}) == {3} and n({"big": {"$gt": 10**20}}) == {4}
+
+
+def test_places(spark):
+    df = spark.createDataFrame([(i, (i * 37) % 50) for i in range(300)], "id long, k long").repartition(7)
+    got = {r.id: r.at for r in collection.placed(df, "at", F.desc("k"), "id", first=5).collect()}
+    assert got == {i: p for p, i in enumerate(sorted(range(300), key=lambda i: (-((i * 37) % 50), i)), 5)}
+    assert collection.placed(df.limit(0), "at", "id").count() == 0
+
+
+def test_export_noise_is_the_same_every_time(spark):
+    s = spark.createDataFrame([(i, 1.0, [0.0] * 50) for i in range(40)], "splat_id long, kappa double, mu array<double>")
+    a, b = (sorted(tuple(r.mu) for r in collection.export_batches(s.repartition(n), 8, noise=0.5).collect()) for n in (1, 4))
+    assert a == b and abs(np.std(a) - 0.5) < 0.03 and abs(np.mean(a)) < 0.05
+
+
+def test_splat_rules(spark):
+    v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.mu, r.alpha, r.kappa, r.frequency) for r in dataset.ingested(v, 8, 10).collect()}
+    assert np.allclose(got[1][0], [0.6, 0.8]) and got[2][1:] == (1.0, 10.0, 1.0)
+    with pytest.raises(ValueError):
+        dataset.ingested(v, 9, 10)
+
+
+def test_caches_tiers_and_cooldown(spark):
+    now = [0.0]
+    cache = control.ResultCache(10, 5.0, lambda: now[0], max_bytes=3000)
+    for i in range(5):
+        cache.put(i, "x" * 900)
+    assert cache.evictions == 2 and cache.get(0) is None and cache.get(4) and cache.bytes < 3000
+    cache.put("large", "x" * 9000)
+    assert cache.get("large") is None and cache.get(4)
+    now[0] = 6.0
+    assert cache.get(4) is None
+    e = shard.EnergyCache(10.0, lambda: now[0])
+    assert e.get("q", "n") == 1.0
+    e.report("n", 0.2)
+    assert e.get("q", "n") == 1.0 and e.get("p", "n") == 0.2
+    now[0] = 16.0
+    assert e.get("q", "n") == 0.2
+    t = control.Tiers(2, 2, promote=3)
+    assert [t.use("a") for _ in range(4)] == ["warm", "warm", "hot", "hot"]
+    for x in "bcd":
+        t.use(x)
+    assert t.tier("b") == "cold" and t.tier("d") == "warm" and t.tier("a") == "hot" and t.tier("zz") is None
+    heard = []
+    s = control.Scaler(2, cooldown=60, clock=lambda: now[0])
+    s.listeners.append(heard.append)
+    busy = spark.createDataFrame([(3, 90.0, 50.0, 5.0)], "n_nodes long, cpu double, memory double, latency_ms double")
+    assert s.decide(busy)["action"] == "scale_up" and s.decide(busy)["reason"] == "cooldown" and s.nodes == 3 and len(heard) == 1
+    now[0] += 60
+    assert s.decide(busy)["target"] == 4
+
+
+def test_colors_of_255(spark):
+    from orrery.functions import encode
+
+    a, b = (spark.createDataFrame([(1, [x, 0.0, 0.0]), (2, [0.0, 0.0, x / 2])], "vec_id long, color array<double>") for x in (1.0, 255.0))
+    assert [r.color for r in encode.unit_colors(a).orderBy("vec_id").collect()] == [r.color for r in encode.unit_colors(b).orderBy("vec_id").collect()]
+
+
+def test_semantic_validation_without_splats(spark):
+    x = np.random.default_rng(3).normal(size=(40, 4)) * 0.05 + np.eye(4)[np.arange(40) % 4]
+    df = spark.createDataFrame([(i, 0.5, v.tolist()) for i, v in enumerate(x)], "vec_id long, score double, embedding array<double>")
+    got = text.validated(df).collect()
+    assert len(got) == 40 and {r.score for r in got} == {0.5} and 4 <= len({r.cluster_id for r in got}) <= 5
+
+
+def test_arrays_and_energy_states_are_written(spark, tmp_path):
+    from orrery.sources import splat_format
+
+    splat_format.register(spark)
+    x = np.random.default_rng(1).normal(size=(30, 3)).astype(np.float32)
+    df = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], "shard string, position long, vector array<float>").repartition(3)
+    df.write.format("npy").mode("append").save(f"{tmp_path}/npy")
+    back = spark.read.format("npy").load(f"{tmp_path}/npy")
+    assert sorted(tuple(r.vector) for r in back.collect()) == sorted(map(tuple, x.tolist()))
+    s = spark.createDataFrame([(1, [1.0], 0.5, 2.0)], "splat_id long, mu array<double>, alpha double, kappa double")
+    splat_format.save_energy(s, f"file://{tmp_path}/energy")
+    assert splat_format.load_energy(spark, f"file://{tmp_path}/energy").collect() == s.collect()
