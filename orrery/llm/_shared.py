@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, with its scheme; where that is unset (tests), a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir, with its scheme. Where that is unset a temporary one, if
+    driver and executors are one process (as in tests), else this raises, as no machine's own folder is shared."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         base = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="orrery-")
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -51,8 +55,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df as a table, with a hint to broadcast it where it has so few rows; where it has more, joins shuffle."""
+    df = written(df, "small")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def drop_table(df: DataFrame) -> None:
-    """Deletes what written() wrote, once nothing reads it any more."""
+    """Deletes what written() wrote, once nothing reads it any more. What a result still reads is its caller's to delete,
+    with the folder."""
     spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)

@@ -302,7 +302,9 @@ def leaves(queries: DataFrame, routers: list[DataFrame], dim: int, fan: int, wid
         below = blocks.join(r, "node", "left").mapInArrow(run, spread)
         up = at.select(F.col("node").alias("above"), "id", "so_far")
         below = below.join(up, ["above", "id"]).select("node", "id", (F.col("so_far") + F.col("chance")).alias("so_far"))
-        at = written(below.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= width).select("node", "id", "so_far"), "beam")
+        last, at = at, written(below.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= width).select("node", "id", "so_far"), "beam")
+        if i:
+            drop_table(last)
     return at.select("id", "node", F.row_number().over(order).alias("place"))
 
 
@@ -400,6 +402,8 @@ def neighbours(rows: DataFrame, queries: DataFrame | None = None, k: int = K, re
         at = leaves(named.select(F.col("row").alias("id"), "v").dropDuplicates(["id"]), routers, dim, fan, probes)
         sent = at.select(F.col("id").alias("row"), "node").join(named, "row").select("node", "id", "v")
         sent = written(sent, "sent").repartitionByRange("node", "id").sortWithinPartitions("node")
+        for x in (*routers, some, named):
+            drop_table(x)
     else:
         sent = q.select(F.lit(0).cast("long").alias("node"), "id", "v")
     found = met(query_blocks(sent, dim).join(blocks, "node"), dim, k)

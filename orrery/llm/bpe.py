@@ -5,8 +5,8 @@ merged by a heap of adjoining pairs over a linked list of their bytes, least ran
 up each id's bytes.
 
 Defined results: a null text gives null ids, an empty text no ids; characters that UTF-8 can't hold (lone surrogates)
-are replaced as str.encode does. Ids that the vocabulary lacks decode to nothing. Repeated rows and ids each stand for
-themselves, other columns are not looked at, an empty table gives an empty result."""
+are replaced as str.encode does. Texts of any length are encoded whole; of pairs of one rank the leftmost merges. Ids that the vocabulary lacks decode to nothing. Repeated rows and ids each stand for
+themselves, other columns are not looked at, whatever their names; an empty table gives an empty result."""
 
 from __future__ import annotations
 

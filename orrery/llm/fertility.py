@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import column, doc_columns, written
+from ._shared import column, doc_columns, small, written
 from ._tokens import TOKENIZERS, file_bytes, piece_tokens
 
 #: statistic: the least interquartile range that a band takes for it
@@ -113,7 +113,7 @@ def bands(rows: DataFrame, width: float = WIDTH, least: int = LEAST) -> DataFram
         q = F.percentile_approx(s, [0.25, 0.5, 0.75], 10000)
         aggs += [q[1].alias(f"{s}_mid"), (F.greatest(q[2] - q[0], F.lit(floor)) * width).alias(f"{s}_half")]
     used = ["level", "name", "low", "high"]
-    inside = F.broadcast(mine.select(*used).distinct())
+    inside = small(mine.select(*used).distinct())
     within = grouped(some, *STATS).join(inside, ["level", "name"]).filter("band_size between low and high")
     limits = within.groupBy(*used).agg(*aggs)
     return mine.join(limits, used).select(F.col("cell.band_key").alias("key"), F.col("cell.script").alias("key_script"), F.col("cell.band_size").alias("key_size"), *limits.columns[4:])
@@ -134,8 +134,8 @@ def in_band(stat, band) -> Column:
 def fertility(docs: DataFrame, width: float = WIDTH, least: int = LEAST, vocabulary: str = "piece_bpe_32k.model", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, band_key, n_tokens, the statistics, verdict ("keep", "empty", or the statistic that is out of its band)."""
     rows = written(measured(docs, vocabulary, folder), "fertility")
-    # some twenty rows for each language or script: a few thousand if all that exist are there
-    joined = rows.join(F.broadcast(bands(rows, width, least)), in_band(F.col, F.col), "left")
+    # some twenty rows for each language or script
+    joined = rows.join(small(bands(rows, width, least)), in_band(F.col, F.col), "left")
     return joined.select(*(c for c in rows.columns if c != "script"), verdict(F.col, F.col).alias("verdict"))
 
 
@@ -146,7 +146,7 @@ def keep_fertile(docs: DataFrame, width: float = WIDTH, least: int = LEAST, voca
     text = column(docs, "text").cast("string")
     measures = docs.withColumn(mine, statistics(text, file_bytes(vocabulary, folder)))
     rows = written(measures.withColumn(mine, F.col(mine).withField("band_key", band_key(lang, F.col(f"{mine}.script")))), "fertile")
-    limits = F.broadcast(bands(rows.select(f"{mine}.*"), width, least).select(F.struct("*").alias(limit)))
+    limits = small(bands(rows.select(f"{mine}.*"), width, least).select(F.struct("*").alias(limit)))
     stat, band = (lambda c: F.col(f"{mine}.{c}")), (lambda c: F.col(f"{limit}.{c}"))
     kept = rows.join(limits, in_band(stat, band), "left").filter(verdict(stat, band) == "keep")
     return kept.select(*(column(rows, c) for c in docs.columns))

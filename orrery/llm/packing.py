@@ -5,9 +5,11 @@ totals of the partitions, summed up in order, are the partitions' global offsets
 which each then knows its global place, and cuts windows; only the pieces of windows that cross tasks are shuffled.
 
 Defined results: documents without text (null or empty) give no tokens and appear in no window; every other
-document is followed by one end token. Rows are taken in stored order, repeated rows and ids each for itself; a null
-doc_id stays null in the boundary records. The last window may be short. An empty table gives no windows. Other
-columns are not looked at."""
+document, however long, is followed by one end token. Rows are taken in the order in which Spark splits the stored files,
+repeated rows and ids each for itself. That order is the same in every run over the same files with the same
+spark.sql.files.maxPartitionBytes and openCostInBytes; it is not an order by key, so other settings or files that are cut
+in another way give other windows of the same documents. A null doc_id stays null in the boundary records. The last window
+may be short. An empty table gives no windows. Other columns are not looked at, whatever their names."""
 
 from __future__ import annotations
 

@@ -8,7 +8,9 @@ the record's end, nothing behind it in its frame, and a block digest where there
 magic number.
 
 Defined results: an empty file gives no rows; a file that can't be opened, a truncated frame or a broken dictionary
-gives a row with an error; null paths give nothing; repeated paths are read once each; an empty list gives no rows.
+gives a row with an error; null paths give nothing; repeated paths are read once each; an empty list gives no rows. A
+record is held whole, whatever its length. Other columns of the list or of the pages are not looked at, whatever their
+names; rows that repeat are records each.
 
 write_archives() writes rows of (id, url, body) as such archives: null urls and bodies leave their headers out and read
 as null, an empty body has an empty block."""
