@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._components import components
-from ._shared import column, doc_columns, drop_table, trim, written
+from ._shared import column, doc_columns, drop_table, small, trim, written
 from ._tokens import sliced
 
 BITS, SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 20, 3, 40, 4, 0.5, 7
@@ -274,16 +274,18 @@ def groups(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without those that are in a group and don't stay, and one of rows that repeat id and text; all
     columns as they are."""
-    gone = members(docs, **options).filter("doc_id <> kept.doc_id or name <> kept.name").select(F.col("doc_id").alias("gone_id"), F.col("name").alias("gone_name"))
-    key = lambda df: (column(df, "doc_id").cast("long"), F.unhex(F.md5(column(df, "text").cast("string"))))
-    left = docs.join(gone, (key(docs)[0] == gone["gone_id"]) & (key(docs)[1] == gone["gone_name"]), "left_anti")
-    i, name = key(left)
-    twice = left.groupBy(i.alias("twice_id"), name.alias("twice_name")).count().filter("count > 1 and twice_id is not null").select("twice_id", "twice_name")
-    i, name = key(left)
-    same = (i == twice["twice_id"]) & name.eqNullSafe(twice["twice_name"])
-    once = left.join(twice, same, "left_anti")
-    again = left.join(twice, same, "left_semi")
-    i, name = key(again)
+    gone = members(docs, **options).filter("doc_id <> kept.doc_id or name <> kept.name").select(F.col("doc_id").alias("mark_id"), F.col("name").alias("mark_name"))
+    none = F.unhex(F.lit(""))
+    key = lambda df: (column(df, "doc_id").cast("long").alias("mark_id"), F.coalesce(F.unhex(F.md5(column(df, "text").cast("string"))), none).alias("mark_name"))
+    twice = docs.select(*key(docs)).filter("mark_id is not null").groupBy("mark_id", "mark_name").count().filter("count > 1").drop("count")
+    marks = twice.join(gone, ["mark_id", "mark_name"], "left_anti").withColumn("mark_gone", F.lit(False)).unionByName(gone.withColumn("mark_gone", F.lit(True)))
+    names = {c: next(n for i in range(len(docs.columns) + 1) if (n := f"{c}_{i}") not in docs.columns) for c in marks.columns}
+    # documents meet names and not texts, and are themselves shuffled only where there are many
+    marks = small(marks.withColumnsRenamed(names))
+    i, name = key(docs)
+    marked = docs.join(marks, (i == marks[names["mark_id"]]) & (name == marks[names["mark_name"]]), "left")
+    again = marked.filter(F.col(names["mark_gone"]) == False)  # noqa: E712
     row = F.struct(*(column(again, c) for c in docs.columns))
-    first = again.groupBy(i.alias("twice_id"), name.alias("twice_name")).agg(F.min_by(row, F.to_json(row)).alias("r"))
+    first = again.groupBy(names["mark_id"], names["mark_name"]).agg(F.min_by(row, F.to_json(row)).alias("r"))
+    once = marked.filter(F.col(names["mark_gone"]).isNull()).select(*(column(marked, c) for c in docs.columns))
     return once.unionByName(first.select(*(F.col("r")[c].alias(c) for c in docs.columns)))
