@@ -1,13 +1,14 @@
 """WARC, nearest neighbours, chat templates, the pipeline and the entry."""
 
 import io
+import os
 import struct
 
 import numpy as np
 import pytest
 import zstandard
 
-from orrery.llm import ann, chat, warc
+from orrery.llm import ann, chat, queries, warc
 
 PAGES = "page_id long, url string, html string, headers string"
 
@@ -110,6 +111,23 @@ def test_ann_on_clusters_probes_few_of_many_parts(spark, monkeypatch):
         assert most >= 20 and held >= 15 and n <= most / 4
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="no tables here")
+def test_ann_recall_of_the_query(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    got: dict[int, set] = {}
+    for r in queries.op4_learned_ann(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    asked = [i for i in ids.tolist() if i % 100 == 0]
+    assert sorted(got) == asked
+    found = 0
+    for q in asked:
+        d = ((x - x[ids == q][0]) ** 2).sum(1)
+        found += len({i for _, i in sorted((a, b) for a, b in zip(d.tolist(), ids.tolist(), strict=True) if b != q)[:10]} & got[q])
+    print("recall", found / len(asked) / 10)
+    assert found >= 9 * len(asked)
+
+
 def test_ann_with_a_hot_vector(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 8)).astype(np.float32)
