@@ -909,17 +909,39 @@ def text_structural_pages(s, d):
     return text.pattern_counts(t(s, d, "pages"), "html")
 
 
-@query()
+LETTERS, UPPERS, LOWERS = "0-9A-Za-zÁÉÍÑÓÚÜáéíñóúü", "[A-ZÁÉÍÑÓÚÜ]", "[a-záéíñóúü]"
+TITLE = f"[0-9]*({UPPERS}{LOWERS}*[0-9]+)*{UPPERS}{LOWERS}*[0-9]*"
+NEXT, LINKED = "P", "[Cc][PCS]"  # a capitalised word, or a connector and any capitalised word
+RUN = f"P(?:{NEXT}(?:{NEXT}(?:{NEXT}|{LINKED})?|{LINKED})?|{LINKED}(?:{NEXT}|{LINKED})?)?"
+WORD = r"[\p{L}\p{N}_]+"
+#: every word is a letter (P capitalised, S a stop word so, C a connector so, c one that isn't, x any other), and runs are
+#: found in the string of those
+NGRAMS = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS tok, unnest(regexp_split_to_array(text, '{WORD}')[:len(regexp_extract_all(text, '{WORD}'))]) AS gap, unnest(range(len(regexp_extract_all(text, '{WORD}')))) AS i FROM documents),
+  o AS (SELECT doc_id, tok, i, sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY i) + sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) - length(tok) AS place FROM w),
+  k AS (SELECT doc_id, tok, place, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, CASE WHEN lower(tok) IN ({", ".join(f"'{x}'" for x in sorted(text.CONNECTORS))}) THEN CASE WHEN regexp_full_match(tok, '{TITLE}') THEN 'C' ELSE 'c' END
+    WHEN NOT regexp_full_match(tok, '{TITLE}') THEN 'x' WHEN lower(tok) IN ({", ".join(f"'{x}'" for x in sorted(text.STOPWORDS))}) THEN 'S' ELSE 'P' END AS c FROM o WHERE regexp_full_match(tok, '[{LETTERS}]+')),
+  z AS (SELECT doc_id, regexp_split_to_array(regexp_replace(string_agg(c, '' ORDER BY i), '({RUN})', '<\\1>', 'g'), '[<>]') AS parts FROM k GROUP BY doc_id),
+  u AS (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS j FROM z),
+  r AS (SELECT doc_id, j, length(part) AS n, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY j) - length(part) AS before FROM u),
+  m AS (SELECT r.doc_id, r.j, string_agg(k.tok, ' ' ORDER BY k.i) AS entity, min(k.place) AS place FROM r JOIN k ON k.doc_id = r.doc_id AND k.i > r.before AND k.i <= r.before + r.n WHERE r.j % 2 = 1 GROUP BY r.doc_id, r.j),
+  ng AS (SELECT doc_id, entity, 'proper_noun' AS kind, least(1.0::DOUBLE, 0.8::DOUBLE + 0.1::DOUBLE * (count(*) - 1)) AS score, count(*) AS n, string_agg(CAST(CAST(place AS BIGINT) AS VARCHAR), ',' ORDER BY place) AS starts FROM m GROUP BY doc_id, entity)"""
+FOUND = f"""{NGRAMS}, st AS (SELECT DISTINCT doc_id, lower(e) AS entity FROM ({" UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, '{p}')) AS e FROM documents" for _, p, _ in text.PATTERNS)})),
+  al AS (SELECT doc_id, entity, 1::BIGINT AS n, 1.0::DOUBLE AS score FROM st UNION ALL SELECT doc_id, lower(entity), n, score FROM ng)"""
+
+
+@query(f"WITH {NGRAMS} SELECT doc_id, entity, kind, round(score, {R}) AS score, n, starts FROM ng")
 def text_ngrams(s, d):
-    return text.extract(t(s, d, "documents"), text.ngrams)
+    found = text.extract(t(s, d, "documents"), text.ngrams)
+    return rounded(found.withColumn("starts", F.array_join(F.col("starts").cast("array<string>"), ",")), "score")
 
 
-@query()
+@query(f"WITH {FOUND} SELECT entity, CAST(sum(n) AS BIGINT) AS n, round(max(score), {R}) AS score, count(DISTINCT doc_id) AS n_docs FROM al GROUP BY entity")
 def text_entities(s, d):
-    return text.corpus_entities(text.extract(t(s, d, "documents")))
+    return rounded(text.corpus_entities(text.extract(t(s, d, "documents"))), "score")
 
 
-@query()
+@query(f"""WITH {FOUND} SELECT k AS kind, CASE k WHEN 'DOCUMENT' THEN (SELECT count(DISTINCT doc_id) FROM al) WHEN 'ENTITY' THEN (SELECT count(DISTINCT entity) FROM al)
+  WHEN 'EDGE' THEN (SELECT count(*) FROM (SELECT DISTINCT doc_id, entity FROM al)) ELSE 0 END AS n FROM (VALUES ('DOCUMENT'), ('ENTITY'), ('CONCEPT'), ('RELATION'), ('EDGE')) AS v(k)""")
 def graph_extract_store(s, d):
     nodes_, edges_ = graph.mentions(text.extract(t(s, d, "documents")))
     return graph.stats(nodes_, edges_)
