@@ -1,6 +1,12 @@
 """A corpus from documents: five stages, each of which works on all that the one before it kept.
 
-Every stage but the last returns the columns of documents; each is written to the shared folder and read again."""
+Every stage but the last returns the columns of documents; each is written to the shared folder and read again.
+
+Defined results, by stage: null, empty and blank texts go with the quality classifier. Quality rules see what is left, of
+any length. Near-dedup keeps one row of each group, one of rows that repeat id and text, all texts that differ under one
+id, and every row without an id. Repeated passages are cut from texts of any length, and a row of which nothing is left
+goes. Packing writes every token of what is left. Of equal documents the least id stays. Columns beside doc_id, text and
+lang are carried along, whatever their names; empty tables give no windows."""
 
 from __future__ import annotations
 

@@ -187,6 +187,83 @@ def hierarchy(vectors: DataFrame, leaves: int, seed: int = 42) -> DataFrame:
     return BisectingKMeans(k=leaves, seed=seed, predictionCol="leaf").fit(f).transform(f).select("vec_id", "leaf")
 
 
+def ward(x: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k clusters by merging those whose union adds least to the sum of squares; size: what each row stands for.
+
+    Chains of nearest neighbours give the merges in some order, each at one distance from all clusters; by rising height
+    they are the merges of the greedy rule."""
+    c, w, n = x.astype(np.float64).copy(), size.astype(np.float64).copy(), len(x)
+    alive, merges, chain = np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        i = chain[-1]
+        cost = np.where(alive, w[i] * w / (w[i] + w) * ((c - c[i]) ** 2).sum(1), np.inf)
+        cost[i] = np.inf
+        j = int(cost.argmin())
+        if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+            j = chain[-2]
+            del chain[-2:]
+            merges.append((float(cost[j]), i, j))
+            c[j] = (w[i] * c[i] + w[j] * c[j]) / (w[i] + w[j])
+            w[j] += w[i]
+            alive[i] = False
+        else:
+            chain.append(j)
+    top = np.arange(n)
+
+    def find(a: int) -> int:
+        while top[a] != a:
+            top[a] = top[top[a]]
+            a = top[a]
+        return a
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: n - k]:
+        a, b = find(i), find(j)
+        top[max(a, b)] = min(a, b)
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
+
+
+def ward_tree(vectors: DataFrame, levels: int = 3, base: int = 100, min_size: int = 50, most: int = 5000, seed: int = 42) -> DataFrame:
+    """vec_id, node: the leaf of each vector in a tree whose nodes are cut into clusters by ward(), written as the places of
+    the children on the way ("3.0.1"). A node of n vectors on a level above the last has the lesser of base divided by the
+    levels below it and n / min_size children, unless that is under two or n under twice min_size.
+
+    A node is one task up to `most` vectors; the few greater ones at the top are first summed up by plain k-means of
+    `most` / 5 clusters, which then merge by their sizes."""
+    rows = vectors.select("vec_id", doubles(F.col("embedding")).alias("embedding"), F.lit("").alias("node"))
+    children = lambda n, level: 0 if n < 2 * min_size else min(base // max(1, levels - level), n // min_size)
+    done: list[DataFrame] = []
+    for level in range(levels):
+        rows = rows.persist()
+        sizes = dict(map(tuple, rows.groupBy("node").count().collect()))  # at most base rows for each level
+        split = {node: k for node, n in sizes.items() if (k := children(n, level)) > 1}
+        done.append(rows.filter(~F.col("node").isin(list(split))).select("vec_id", "node"))
+        parts = []
+        for node in (x for x in split if sizes[x] > most):
+            micro, c = lloyd(rows.filter(F.col("node") == node), max(split[node], most // 5), seed=seed)
+            n = {r.coarse_id: r["count"] for r in micro.groupBy("coarse_id").count().collect()}  # most / 5 rows
+            held = sorted(n)
+            label = ward(c[held], np.array([n[i] for i in held]), split[node])
+            names = vectors.sparkSession.createDataFrame([(int(i), f"{node}.{j}".lstrip(".")) for i, j in zip(held, label, strict=True)], "coarse_id int, node string")
+            parts.append(micro.join(F.broadcast(names), "coarse_id").select("vec_id", "embedding", "node"))  # most / 5 rows
+
+        def cut(pdf: pd.DataFrame, split=split) -> pd.DataFrame:
+            pdf = pdf.sort_values("vec_id")
+            node = pdf["node"].iloc[0]
+            label = ward(np.stack(pdf["embedding"].to_numpy()), np.ones(len(pdf)), split[node])
+            return pdf.assign(node=[f"{node}.{j}".lstrip(".") for j in label])
+
+        few = [x for x in split if sizes[x] <= most]
+        rows = rows.filter(F.col("node").isin(few)).groupBy("node").applyInPandas(cut, "vec_id long, embedding array<double>, node string")
+        for p in parts:
+            rows = rows.unionByName(p)
+    out = rows.select("vec_id", "node")
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
 def nearest(points: DataFrame, centroids: DataFrame, point_id: str = "vec_id", centroid_id: str = "coarse_id") -> DataFrame:
     """The nearest centroid of each point, ties by its id."""
     d = points.crossJoin(centroids).withColumn("distance", l2(F.col("embedding"), F.col("centroid")))

@@ -207,6 +207,11 @@ def ivf_lloyd_recall(s, d):
     return knn.recall(knn.ranked(found, 10), knn.knn(as_queries(e), e, 10, keep_self=False), 10)
 
 
+@query()
+def cluster_tree(s, d):
+    return ivf.ward_tree(emb(s, d), 2, 20, 25)
+
+
 @query(f"WITH {E}, {CENT} SELECT e.vec_id, c.label AS coarse_id, round(list_distance(e.x, c.c), {R}) AS distance FROM e CROSS JOIN c")
 def cluster_distances(s, d):
     e = emb(s, d)

@@ -452,3 +452,36 @@ def test_arrays_and_energy_states_are_written(spark, tmp_path):
     s = spark.createDataFrame([(1, [1.0], 0.5, 2.0)], "splat_id long, mu array<double>, alpha double, kappa double")
     splat_format.save_energy(s, f"file://{tmp_path}/energy")
     assert splat_format.load_energy(spark, f"file://{tmp_path}/energy").collect() == s.collect()
+
+
+def plain_ward(x, k):
+    """Greedy merges of the pair that adds least to the sum of squares."""
+    groups = [[i] for i in range(len(x))]
+    loss = lambda g: ((x[g] - x[g].mean(0)) ** 2).sum()
+    while len(groups) > k:
+        pairs = [(loss(a + b) - loss(a) - loss(b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups[:i])]
+        _, i, j = min(pairs)
+        groups[j] = groups[j] + groups[i]
+        del groups[i]
+    return {tuple(sorted(g)) for g in groups}
+
+
+def test_ward_is_that_of_greedy_merges():
+    for seed in range(3):
+        x = np.random.default_rng(seed).normal(size=(35, 3))
+        for k in (2, 5):
+            label = ivf.ward(x, np.ones(35), k)
+            assert {tuple(np.flatnonzero(label == j).tolist()) for j in range(k)} == plain_ward(x, k)
+
+
+def test_ward_tree(spark):
+    x = np.random.default_rng(6).normal(size=(120, 3)) + np.repeat(np.eye(3) * 20, 40, 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.node for r in ivf.ward_tree(df, 2, 6, 10).collect()}
+    assert len(got) == 120
+    # 3 = 6 / 2 children of the root, then 4 = 40 / 10 of each
+    assert sorted(got) == list(range(120)) and len({n.split(".")[0] for n in got.values()}) == 3 and len(set(got.values())) == 12
+    for i in range(3):
+        assert len({got[j].split(".")[0] for j in range(40 * i, 40 * i + 40)}) == 1
+    summed = {r.vec_id: r.node for r in ivf.ward_tree(df, 1, 3, 10, most=60).collect()}
+    assert sorted(summed) == list(range(120)) and all(len({summed[j] for j in range(40 * i, 40 * i + 40)}) == 1 for i in range(3))
