@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -224,6 +226,18 @@ def ward(x: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
+def _cut(children: dict[str, int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of one argument, as Spark hands a function of two the key first."""
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        node = pdf["node"].iloc[0]
+        label = ward(np.stack(pdf["embedding"].to_numpy()), np.ones(len(pdf)), children[node])
+        return pdf.assign(node=[f"{node}.{j}".lstrip(".") for j in label])
+
+    return cut
+
+
 def ward_tree(vectors: DataFrame, levels: int = 3, base: int = 100, min_size: int = 50, most: int = 5000, seed: int = 42) -> DataFrame:
     """vec_id, node: the leaf of each vector in a tree whose nodes are cut into clusters by ward(), written as the places of
     the children on the way ("3.0.1"). A node of n vectors on a level above the last has the lesser of base divided by the
@@ -248,14 +262,8 @@ def ward_tree(vectors: DataFrame, levels: int = 3, base: int = 100, min_size: in
             names = vectors.sparkSession.createDataFrame([(int(i), f"{node}.{j}".lstrip(".")) for i, j in zip(held, label, strict=True)], "coarse_id int, node string")
             parts.append(micro.join(F.broadcast(names), "coarse_id").select("vec_id", "embedding", "node"))  # most / 5 rows
 
-        def cut(pdf: pd.DataFrame, split=split) -> pd.DataFrame:
-            pdf = pdf.sort_values("vec_id")
-            node = pdf["node"].iloc[0]
-            label = ward(np.stack(pdf["embedding"].to_numpy()), np.ones(len(pdf)), split[node])
-            return pdf.assign(node=[f"{node}.{j}".lstrip(".") for j in label])
-
-        few = [x for x in split if sizes[x] <= most]
-        rows = rows.filter(F.col("node").isin(few)).groupBy("node").applyInPandas(cut, "vec_id long, embedding array<double>, node string")
+        few = {x: k for x, k in split.items() if sizes[x] <= most}
+        rows = rows.filter(F.col("node").isin(list(few))).groupBy("node").applyInPandas(_cut(few), "vec_id long, embedding array<double>, node string")
         for p in parts:
             rows = rows.unionByName(p)
     out = rows.select("vec_id", "node")
