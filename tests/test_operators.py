@@ -485,3 +485,15 @@ def test_ward_tree(spark):
         assert len({got[j].split(".")[0] for j in range(40 * i, 40 * i + 40)}) == 1
     summed = {r.vec_id: r.node for r in ivf.ward_tree(df, 1, 3, 10, most=60).collect()}
     assert sorted(summed) == list(range(120)) and all(len({summed[j] for j in range(40 * i, 40 * i + 40)}) == 1 for i in range(3))
+
+
+def test_lloyd_and_ward_tree_over_parts_without_rows(spark):
+    x = np.random.default_rng(3).normal(size=(200, 4))
+    df = vectors(spark, x)
+    sparse = df.withColumn("one", F.lit(1)).repartition(7, "one").drop("one")
+    # seven parts, of which one has all rows
+    assert sparse.rdd.getNumPartitions() == 7
+    want, c = ivf.lloyd(df.coalesce(1), 3)
+    got, d = ivf.lloyd(sparse, 3)
+    assert np.allclose(c, d) and {tuple(r) for r in got.select("vec_id", "coarse_id").collect()} == {tuple(r) for r in want.select("vec_id", "coarse_id").collect()}
+    assert ivf.ward_tree(sparse, 1, 3, 10, most=60).count() == 200
