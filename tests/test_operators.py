@@ -497,3 +497,14 @@ def test_lloyd_and_ward_tree_over_parts_without_rows(spark):
     got, d = ivf.lloyd(sparse, 3)
     assert np.allclose(c, d) and {tuple(r) for r in got.select("vec_id", "coarse_id").collect()} == {tuple(r) for r in want.select("vec_id", "coarse_id").collect()}
     assert ivf.ward_tree(sparse, 1, 3, 10, most=60).count() == 200
+
+
+def test_mean_does_not_hang_on_the_order_of_rows(spark):
+    from orrery.plans import catalogue
+
+    rows = [("a", x) for x in (0.1, 0.2, 0.3)] + [("b", x) for x in (0.3, 0.2, 0.1)] + [("c", 1e25), ("c", 3e25), ("d", None)]
+    df = spark.createDataFrame(rows, "node string, value double").coalesce(1)
+    plain, got = ({r.node: r.m for r in df.groupBy("node").agg(m.alias("m")).collect()} for m in (F.avg("value"), catalogue.mean("value")))
+    # sums of doubles tell the two nodes apart, so that their order is chance
+    assert plain["a"] != plain["b"] and got["a"] == got["b"]
+    assert got["c"] == 2e25 and got["d"] is None
