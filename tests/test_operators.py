@@ -508,3 +508,23 @@ def test_mean_does_not_hang_on_the_order_of_rows(spark):
     # sums of doubles tell the two nodes apart, so that their order is chance
     assert plain["a"] != plain["b"] and got["a"] == got["b"]
     assert got["c"] == 2e25 and got["d"] is None
+
+
+def test_pair_measures_by_stripes(spark):
+    x = np.random.default_rng(5).normal(size=(60, 5))
+    x[7] = 0
+    rows = [(i, None if i == 11 else y.tolist(), i % 2) for i, y in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(r.a_id, r.b_id): tuple(r)[2:] for r in knn.pair_measures(df, "label", 6, stripe=8).collect()}
+    assert set(got) == {(a, b) for a in range(60) for b in range(a + 2, 60, 2)} == set(got) and len(got) == 2 * 30 * 29 // 2
+    for (a, b), (dot, l2, cosine, geodesic) in got.items():
+        if 11 in (a, b):
+            assert (dot, l2, cosine, geodesic) == (None,) * 4
+            continue
+        d = x[a] @ x[b]
+        assert abs(dot - d) < 1e-6 and abs(l2 - np.linalg.norm(x[a] - x[b])) < 1e-6 and abs(geodesic - np.arccos(np.clip(d, -1, 1))) < 1e-6
+        assert cosine is None if 7 in (a, b) else abs(cosine - d / np.linalg.norm(x[a]) / np.linalg.norm(x[b])) < 1e-6
+
+
+def test_rounding_of_halves():
+    assert knn.rounded(np.array([0.5, 1.5, -2.5, 2.4]), 0).tolist() == [1, 2, -3, 2]
