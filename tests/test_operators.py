@@ -528,3 +528,10 @@ def test_pair_measures_by_stripes(spark):
 
 def test_rounding_of_halves():
     assert knn.rounded(np.array([0.5, 1.5, -2.5, 2.4]), 0).tolist() == [1, 2, -3, 2]
+
+
+def test_broadcast_all_is_dealt_to_many_tasks(spark):
+    q, n = spark.range(50).select(F.col("id").alias("query_id")).coalesce(1), spark.createDataFrame([(0,), (1,), (2,), (None,)], "node_id long").coalesce(1)
+    got = shard.broadcast_all(q, n, 2)
+    assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.query_id, str(r.node_id)) for r in got.collect()) == sorted((i, j) for i in range(50) for j in ("0", "1", "2", "None"))
