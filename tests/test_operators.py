@@ -535,3 +535,18 @@ def test_broadcast_all_is_dealt_to_many_tasks(spark):
     got = shard.broadcast_all(q, n, 2)
     assert got.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert sorted((r.query_id, str(r.node_id)) for r in got.collect()) == sorted((i, j) for i in range(50) for j in ("0", "1", "2", "None"))
+
+
+def test_avalanche_asks_for_neighbours_of_what_topples(spark):
+    s = spark.createDataFrame([(i, 2.0 if i < 3 else 0.1, 1.0, [float(i), 0.0]) for i in range(40)], "splat_id long, energy double, alpha double, mu array<double>")
+    seen = []
+
+    def near(ids):
+        seen.extend(ids)
+        return energy.neighbours_within(s, 1.0, of=s.filter(F.col("splat_id").isin(ids)))
+
+    rows = lambda df: sorted(map(tuple, df.select("splat_id", "energy", "alpha", "hit").collect()))
+    got = rows(energy.avalanche(s, near))
+    assert got == rows(energy.avalanche(s, energy.neighbours_within(s, 1.0)))
+    hit = [r[0] for r in got if r[3]]
+    assert len(got) == 40 and hit and set(seen) == set(hit) and len(seen) == len(hit) < 40
