@@ -550,3 +550,13 @@ def test_avalanche_asks_for_neighbours_of_what_topples(spark):
     assert got == rows(energy.avalanche(s, energy.neighbours_within(s, 1.0)))
     hit = [r[0] for r in got if r[3]]
     assert len(got) == 40 and hit and set(seen) == set(hit) and len(seen) == len(hit) < 40
+
+
+def test_heads_of_clusters(spark):
+    a = spark.createDataFrame([(i, i % 3) for i in range(300)], "vec_id long, coarse_id int")
+    assert sorted((r.coarse_id, r.vec_id) for r in ivf.heads(a, 2, "coarse_id").collect()) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 2), (2, 5)]
+    p = spark.createDataFrame([(9, 2, 1, 0.5), (9, 0, 2, 0.7)], "query_id long, coarse_id int, probe_rank int, centroid_distance double")
+    df = ivf.lod0(p, a, 4)
+    assert [(r.vec_id, r.distance, r["rank"]) for r in df.orderBy("rank").collect()] == [(2, 0.5, 1), (5, 0.5, 2), (8, 0.5, 3), (11, 0.5, 4)]
+    # members are cut down before they meet the queries
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
