@@ -560,3 +560,30 @@ def test_heads_of_clusters(spark):
     assert [(r.vec_id, r.distance, r["rank"]) for r in df.orderBy("rank").collect()] == [(2, 0.5, 1), (5, 0.5, 2), (8, 0.5, 3), (11, 0.5, 4)]
     # members are cut down before they meet the queries
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grouped_search_gathers_no_group(spark):
+    rng = np.random.default_rng(6)
+    x, g = rng.normal(size=(1500, 3)), rng.integers(0, 3, 1500)
+    df = spark.createDataFrame([(i, y.tolist(), int(j)) for i, (y, j) in enumerate(zip(x, g, strict=True))], "vec_id long, embedding array<double>, shard long").repartition(3)
+    q = df.select(F.col("vec_id").alias("query_id"), "embedding", "shard")
+    got = knn.grouped_knn(q, df, "shard", 2)
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+    pairs = {}
+    for r in got.collect():
+        assert r.shard == g[r.query_id] == g[r.vec_id]
+        pairs.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in range(0, 1500, 50):
+        d = np.where(g == g[i], np.linalg.norm(x - x[i], axis=1), np.inf)
+        assert pairs[i] == set(np.argsort(d)[:2].tolist())
+    assert len(pairs) == 1500
+
+
+def test_matrices_of_a_search_have_bounded_rows(monkeypatch):
+    rng, most = np.random.default_rng(7), []
+    q, real = rng.normal(size=(1300, 3)), knn.scores
+    monkeypatch.setattr(knn, "scores", lambda a, b, m: most.append(len(a)) or real(a, b, m))
+    i, ids, d = knn.near(np.arange(1300), q, np.arange(1300), np.arange(1300), q, 2, "l2", False)
+    assert max(most) <= knn.SLICE and np.bincount(i).tolist() == [2] * 1300
+    far = np.linalg.norm(q[:, None] - q[None], axis=2) + np.diag([np.inf] * 1300)
+    assert np.allclose(d[::2], far.min(1)) and (ids[::2] == far.argmin(1)).all()
