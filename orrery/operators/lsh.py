@@ -7,11 +7,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2
+from .knn import FLUSH, SLICE, best, nearest, packed, ranked
 
 
 class CrossPolytope:
@@ -99,3 +101,54 @@ def query(queries: DataFrame, vectors: DataFrame, lsh: CrossPolytope, k: int = 1
     d = cand.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("qv")), "query_id").withColumn("distance", l2(F.col("qv"), F.col("embedding")))
     w = W.partitionBy("query_id").orderBy("distance", "vec_id")
     return d.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "vec_id", "distance", "rank")
+
+
+def query_all(queries: DataFrame, vectors: DataFrame, lsh: CrossPolytope, k: int = 10, n_probes: int = 50, keep_self: bool = True) -> DataFrame:
+    """query_id, vec_id, distance, rank: the nearest of all vectors that share a bucket with the query, however many.
+
+    Where a large share of the vectors shares a bucket with each query, rows of them outgrow any disk. Here buckets meet in
+    pairs of blocks, in memory: of each query a table of the buckets that it probes, looked up by the vectors' codes. What is
+    shuffled is k rows a query and task."""
+    cells = (2 * lsh.rotations.shape[-1]) ** lsh.k
+    some = min(SLICE, 32_000_000 // (len(lsh.rotations) * cells))
+    if not some:
+        raise ValueError("too many buckets for their table in memory")
+
+    def run(batches):
+        held: dict[bytes, list] = {}
+        size = 0
+        codes: dict[bytes, np.ndarray] = {}
+        probed: dict[bytes, list] = {}
+
+        def flush():
+            for q_ids, parts in held.items():
+                i, ids, dist = best(*(np.concatenate([p[j] for p in parts]) for j in range(3)), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q_ids, np.int64)[i]), pa.array(ids), pa.array(dist)], ["query_id", "vec_id", "distance"])
+
+        for b in batches:
+            for v_ids, v, q_ids, q in zip(*(b[c].to_pylist() for c in ("v_ids", "v", "q_ids", "q")), strict=True):
+                vi, qi = np.frombuffer(v_ids, np.int64), np.frombuffer(q_ids, np.int64)
+                v, q = np.frombuffer(v, np.float64).reshape(len(vi), -1), np.frombuffer(q, np.float64).reshape(len(qi), -1)
+                if v_ids not in codes:  # of one block, for its pairs with all blocks of queries come together
+                    codes = {v_ids: lsh.codes(v)}
+                if q_ids not in probed:
+                    probed = dict(list(probed.items())[-8:]) | {q_ids: lsh.probes(q, n_probes)}
+                code = codes[v_ids]
+                for a in range(0, len(qi), some):
+                    tables = np.zeros((code.shape[1], min(some, len(qi) - a), cells), bool)
+                    for i, of in enumerate(probed[q_ids][a : a + some]):
+                        for t, keys in enumerate(of):
+                            tables[t, i, keys] = True
+                    shared = np.zeros((tables.shape[1], len(vi)), bool)
+                    for t in range(len(tables)):
+                        shared |= tables[t][:, code[:, t]]
+                    i, ids, d = best(*nearest(qi[a : a + some], q[a : a + some], vi, v, k, "l2", keep_self, shared), k)
+                    held.setdefault(q_ids, []).append((i + a, ids, d))
+                    size += len(i)
+                if size > FLUSH:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    pairs = packed(vectors, "vec_id", "embedding", ("v_ids", "v")).crossJoin(packed(queries, "query_id", "embedding", ("q_ids", "q")))
+    return ranked(pairs.mapInArrow(run, "query_id long, vec_id long, distance double"), k)

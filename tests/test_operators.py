@@ -587,3 +587,13 @@ def test_matrices_of_a_search_have_bounded_rows(monkeypatch):
     assert max(most) <= knn.SLICE and np.bincount(i).tolist() == [2] * 1300
     far = np.linalg.norm(q[:, None] - q[None], axis=2) + np.diag([np.inf] * 1300)
     assert np.allclose(d[::2], far.min(1)) and (ids[::2] == far.argmin(1)).all()
+
+
+def test_all_that_share_a_bucket(spark):
+    x = np.random.default_rng(8).normal(size=(600, 8))
+    df = vectors(spark, x)
+    q = df.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    h = lsh.CrossPolytope(8, 3, 4)
+    want, got = (sorted((r.query_id, r.vec_id, r["rank"]) for r in f.collect()) for f in (lsh.query(q, df, h, 5, 2, 600, keep_self=False), lsh.query_all(q, df, h, 5, 2, keep_self=False)))
+    assert want == got and got
+    assert "SortMergeJoin" not in lsh.query_all(q, df, h, 5, 2)._jdf.queryExecution().executedPlan().toString()
