@@ -70,15 +70,23 @@ def merged(text: str) -> list[tuple[str, str, float, int, list[int]]]:
     return [tuple(x) for x in out.values()]
 
 
-def extract(docs: DataFrame, how=merged) -> DataFrame:
-    """doc_id, entity, kind, score, n, starts; how: one of the functions above."""
+def frames(batches, how, most: int = 20_000):
+    """Rows of extract() in frames of about `most`, so that the entities of a whole batch are never held at once."""
+    rows = []
+    columns = ["doc_id", "entity", "kind", "score", "n", "starts"]
+    for pdf in batches:
+        for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+            rows += [(d, *r) for r in how(t)] if t else []
+            if len(rows) >= most:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
-    def run(batches):
-        for pdf in batches:
-            rows = [(d, *r) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) if t for r in how(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "entity", "kind", "score", "n", "starts"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+def extract(docs: DataFrame, how=merged) -> DataFrame:
+    """doc_id, entity, kind, score, n, starts; how: one of the functions above."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda batches: frames(batches, how), SCHEMA)
 
 
 #: what a text must hold for a pattern to hit; finding that costs little

@@ -597,3 +597,12 @@ def test_all_that_share_a_bucket(spark):
     want, got = (sorted((r.query_id, r.vec_id, r["rank"]) for r in f.collect()) for f in (lsh.query(q, df, h, 5, 2, 600, keep_self=False), lsh.query_all(q, df, h, 5, 2, keep_self=False)))
     assert want == got and got
     assert "SortMergeJoin" not in lsh.query_all(q, df, h, 5, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entities_come_in_bounded_frames():
+    import pandas as pd
+
+    docs = pd.DataFrame({"doc_id": range(500), "text": ["Ada met Bob, Eve met Ida" if i % 5 else None for i in range(500)]})
+    got = list(text.frames(iter([docs, docs]), text.merged, 50))
+    assert max(map(len, got)) < 53 and sum(map(len, got)) == 2 * 400 * 3
+    assert pd.concat(got)["doc_id"].tolist() == 2 * [i for i in range(500) if i % 5 for _ in range(3)]
