@@ -606,3 +606,29 @@ def test_entities_come_in_bounded_frames():
     got = list(text.frames(iter([docs, docs]), text.merged, 50))
     assert max(map(len, got)) < 53 and sum(map(len, got)) == 2 * 400 * 3
     assert pd.concat(got)["doc_id"].tolist() == 2 * [i for i in range(500) if i % 5 for _ in range(3)]
+
+
+def test_blocks_and_parts_of_queries_do_not_follow_the_files(spark):
+    # 60 files of 50 queries each; vectors are read once for each part of queries
+    df = vectors(spark, np.random.default_rng(8).normal(size=(3000, 64))).repartition(60)
+    assert knn.packed(df, "vec_id", "embedding", ("ids", "v"), gather=True).count() <= 8
+    wide = spark.range(2000, numPartitions=1).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.5), 640).alias("embedding"))
+    sizes = [len(r.v) for r in knn.packed(wide, "vec_id", "embedding", ("ids", "v")).collect()]
+    assert max(sizes) <= 1 << 20 and sum(sizes) == 2000 * 640 * 8
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
+def test_a_search_measures_few_pairs_and_those_in_chunks(monkeypatch):
+    rng, seen, real = np.random.default_rng(9), [], knn.exact
+    monkeypatch.setattr(knn, "exact", lambda q, v, m: seen.append(len(q)) or real(q, v, m))
+    q, v = np.zeros((100, 3)), np.ones((1000, 3))  # all pairs tie
+    i, ids, d = knn.near(np.arange(100), q, np.arange(100), np.arange(1000), v, 2, "l2", True)
+    assert sum(seen) == 100_000 and max(seen) <= 16_384 and ids.tolist() == [0, 1] * 100
+    for metric in ("l2", "dot"):
+        seen.clear()
+        q, v, h = rng.normal(size=(60, 4)), rng.normal(size=(5000, 4)), knn.Held(60, 5)
+        for a in range(0, 5000, 500):
+            h.add(*knn.near(np.arange(60), q, np.arange(60), np.arange(a, a + 500), v[a : a + 500], 5, metric, True, h.bound))
+        all_d = -(q @ v.T) if metric == "dot" else np.linalg.norm(q[:, None] - v[None], axis=2)
+        assert h.hits[1].reshape(60, 5).tolist() == np.argsort(all_d, axis=1)[:, :5].tolist()
+        assert sum(seen) < 60 * 5 * 8  # of ten blocks, five a query and block were measured before
