@@ -632,3 +632,15 @@ def test_a_search_measures_few_pairs_and_those_in_chunks(monkeypatch):
         all_d = -(q @ v.T) if metric == "dot" else np.linalg.norm(q[:, None] - v[None], axis=2)
         assert h.hits[1].reshape(60, 5).tolist() == np.argsort(all_d, axis=1)[:, :5].tolist()
         assert sum(seen) < 60 * 5 * 8  # of ten blocks, five a query and block were measured before
+
+
+def test_no_task_holds_a_great_cluster(spark):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(c, 0.01, (n, 2)) for c, n in ((0, 60), (5, 70), (50, 20))])
+    rows = [(i, y.tolist(), int(i >= 130)) for i, y in enumerate(x)]
+    coarse = spark.createDataFrame(rows, "vec_id long, embedding array<double>, coarse_id int").repartition(3)
+    got = {r.vec_id: r.fine_id for r in ivf.fine_clusters(coarse, 4, most=50).collect()}
+    assert sorted(got) == list(range(150))
+    assert not {got[i] for i in range(60)} & {got[i] for i in range(60, 130)} and len({got[i] for i in range(130)}) <= 4
+    alone = {r.vec_id: r.fine_id for r in ivf.fine_clusters(coarse.filter("coarse_id = 1"), 4).collect()}
+    assert {i: got[i] for i in alone} == alone
