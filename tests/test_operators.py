@@ -644,3 +644,20 @@ def test_no_task_holds_a_great_cluster(spark):
     assert not {got[i] for i in range(60)} & {got[i] for i in range(60, 130)} and len({got[i] for i in range(130)}) <= 4
     alone = {r.vec_id: r.fine_id for r in ivf.fine_clusters(coarse.filter("coarse_id = 1"), 4).collect()}
     assert {i: got[i] for i in alone} == alone
+
+
+def test_splats_meet_points_in_few_parts(spark):
+    p = spark.range(100, numPartitions=1).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    splats = spark.range(30).select(F.array(F.lit(0.0), F.col("id").cast("double")).alias("mu"), F.lit(1.0).alias("alpha"), (F.col("id") + 1.0).alias("kappa")).repartition(30)
+    assert energy.blocks(p, splats).count() <= 8
+
+
+def test_regions_are_found_in_one_round(spark, monkeypatch):
+    p = spark.createDataFrame([(i, [float(10 * (i % 20)), 0.0], 1.0 + i) for i in range(200)], "id long, x array<double>, energy double")
+    sorts, real = [], type(p).orderBy
+    monkeypatch.setattr(type(p), "orderBy", lambda self, *a, **b: sorts.append(1) or real(self, *a, **b))
+    got = energy.regions(p, 0.5, 8, 0.5).collect()
+    assert [(r.energy, r.n_points) for r in got] == [(200.0 - i, 10) for i in range(8)]
+    assert len(sorts) == 2  # before, nine: a round for each region, and one of what they hold
+    monkeypatch.setattr(energy, "WALK", 3)
+    assert [tuple(r) for r in energy.regions(p, 0.5, 8, 0.5).collect()] == [tuple(r) for r in got]
