@@ -34,6 +34,7 @@ from ._tokens import sliced
 BITS, SHINGLE, BANDS, ROWS, THRESHOLD, SEED = 20, 3, 40, 4, 0.5, 7
 SLICES = 64
 TABLE = 1 << 16
+CELLS = 48_000
 
 
 def shingles(texts: Sequence[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,23 +129,37 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int, k:
     out = np.zeros((n_docs, k), np.uint32)
     if not len(doc):
         return out
-    mixed, logw = _words.mixed(h.astype(np.uint64)), np.log(weight.astype(np.float32))
+    mixed, logw = _words.mixed(h.astype(np.uint64))[:, None], np.log(weight.astype(np.float32))[:, None]
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     best = np.full((n_docs, k), np.inf, np.float32)
-    # runs of shingles, so that what is at hand fits the cache; a document may go over several
-    step = max(1, 200_000 // k)
+    # runs of shingles, so that what is at hand fits the cache; a document may go over several. All runs share these arrays:
+    # fresh ones of that size come from the machine page by page, which takes longer than what is done with them
+    step = max(1, CELLS // k)
+    shape = min(step, len(doc)), k
+    xs, bits, (rs, cs, bs, ts) = np.empty(shape, np.uint64), np.empty(shape, np.uint64), np.empty((4, *shape), np.float32)
     for at in range(0, len(doc), step):
         s = slice(at, min(at + step, len(doc)))
-        x = mixed[s, None] * odd
-        r = gamma[(x >> np.uint64(48)).astype(np.int32)]
-        c = log_gamma[((x >> np.uint64(32)) & np.uint64(TABLE - 1)).astype(np.int32)]
-        b = ((x >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(logw[s, None] / r + b)
-        a = c - r * (t - b + np.float32(1))
-        cuts = first[np.searchsorted(first, s.start, "right") : np.searchsorted(first, s.stop)]
-        cuts = np.concatenate([[s.start], cuts])
-        own = doc[cuts]
-        best[own] = np.minimum(best[own], np.minimum.reduceat(a, cuts - s.start, axis=0))
+        x, y, r, c, b, t = (part[: s.stop - at] for part in (xs, bits, rs, cs, bs, ts))
+        np.multiply(mixed[s], odd, out=x)
+        place = y.view(np.int64)  # "clip" clips nothing here, but writes to out without a copy
+        gamma.take(np.right_shift(x, np.uint64(48), out=y).view(np.int64), out=r, mode="clip")
+        np.right_shift(x, np.uint64(32), out=y)
+        y &= np.uint64(TABLE - 1)
+        log_gamma.take(place, out=c, mode="clip")
+        np.right_shift(x, np.uint64(8), out=y)
+        y &= np.uint64(0xFFFFFF)
+        np.multiply(place, np.float32(2.0**-24), out=b, casting="unsafe", dtype=np.float32)
+        np.divide(logw[s], r, out=t)
+        t += b
+        np.floor(t, out=t)
+        t -= b
+        t += np.float32(1)
+        t *= r
+        c -= t
+        cuts = [at, *first[np.searchsorted(first, at, "right") : np.searchsorted(first, s.stop)].tolist(), s.stop]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            own = best[doc[i]]
+            np.minimum(own, np.minimum.reduce(c[i - at : j - at], axis=0), out=own)
     held = doc[first]
     out[held] = best[held].view(np.uint32)
     return out
